@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import p1_rank, p4_topn
+from quillon.llm import p1_rank, p4_topn, p8_encode, p9_pack
 from quillon.sources.tables import table
 
 
@@ -29,6 +29,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("path", "para_index")
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p4_found": p4_found}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte_bpe_50k ids of every document."""
+    return p8_encode.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container, place and offset of every document or piece of one."""
+    sizes = p8_encode.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return p9_pack.pack(sizes, "doc_id", "n_tokens")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_ranking": p1_ranking,
+    "p4_found": p4_found,
+    "p8_ids": p8_ids,
+    "p9_containers": p9_containers,
+}
 
 from quillon.llm.sql import ORACLE  # noqa: E402, F401
