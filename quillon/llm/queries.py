@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import p1_rank, p4_topn, p8_encode, p9_pack
+from quillon.llm import p1_rank, p2_forms, p3_sentences, p4_topn, p8_encode, p9_pack
 from quillon.sources.tables import table
 
 
@@ -18,11 +19,43 @@ def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every valid result with its normalised ranks and significance."""
     ranked = p1_rank.aggregate_ranks(table(spark, sf_dir, "punch"), "batch_id", "result_id")
     floats = [c for c, t in ranked.dtypes if t == "double"]
-    from pyspark.sql import functions as F
-
     return ranked.withColumns({c: F.round(c, 6) for c in floats})
 
 
+def _vocabulary(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
+    return p2_forms.vocabulary((table(spark, sf_dir, "results"), "text"), (table(spark, sf_dir, "hits"), "text"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results, and hits of one result, that look the same but are not the same characters."""
+    counted = _vocabulary(spark, sf_dir)
+    results = p2_forms.fingerprints(table(spark, sf_dir, "results"), ["result_id"], "text", counted)
+    hits = table(spark, sf_dir, "hits").filter("result_id IS NOT NULL")
+    hits = p2_forms.fingerprints(hits, ["hit_id", "result_id"], "text", counted)
+    of_results = p2_forms.look_alike_pairs(results, "result_id").select(F.lit("results").alias("tbl"), "id_a", "id_b")
+    of_hits = p2_forms.look_alike_pairs(hits, "hit_id", ["result_id"]).select(F.lit("hits").alias("tbl"), "id_a", "id_b")
+    return of_results.unionByName(of_hits)
+
+
+def p2_forms_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form of every text of results and hits."""
+    counted = _vocabulary(spark, sf_dir)
+    results = p2_forms.forms(table(spark, sf_dir, "results"), ["result_id"], "text", counted)
+    hits = p2_forms.forms(table(spark, sf_dir, "hits").dropDuplicates(["hit_id"]), ["hit_id"], "text", counted)
+    return results.select(F.lit("results").alias("tbl"), F.col("result_id").alias("row_id"), "form").unionByName(
+        hits.select(F.lit("hits").alias("tbl"), F.col("hit_id").alias("row_id"), "form")
+    )
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every span, and of every result in a .txt file, with its offsets."""
+    spans = p3_sentences.sentences(table(spark, sf_dir, "spans"), "span_id", "text", "lang").distinct()  # some are delivered twice
+    plain = table(spark, sf_dir, "results").filter(F.col("path").endswith(".txt"))
+    results = p3_sentences.sentences(plain, "result_id", "text", "lang")
+    cols = ["row_id", "start_off", "end_off"]
+    return spans.toDF(*cols).select(F.lit("spans").alias("tbl"), *cols).unionByName(results.toDF(*cols).select(F.lit("results").alias("tbl"), *cols))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three scored paragraphs of each path."""
     top = p4_topn.top_n_by_bands(table(spark, sf_dir, "paragraph_scores"), "path", "para_index", "weighted", "scored_at")
@@ -43,6 +76,9 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_ranking": p1_ranking,
+    "p2_found": p2_found,
+    "p2_forms_of_texts": p2_forms_of_texts,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
