@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import p1_rank, p2_forms, p3_sentences, p4_topn, p8_encode, p9_pack
+from quillon.llm import p1_rank, p2_forms, p3_sentences, p4_topn, p5_markup, p8_encode, p9_pack
 from quillon.sources.tables import table
 
 
@@ -62,6 +62,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("path", "para_index")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every heading, list item, code block and formula of a result with markup."""
+    return p5_markup.elements(table(spark, sf_dir, "results"), "result_id", "text", "path")
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean text of every result."""
+    return p5_markup.clean_texts(table(spark, sf_dir, "results"), "result_id", "text", "path")
+
+
+def p5_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delimiters that occur alike over the texts of a folder and suffix."""
+    host = F.concat_ws(" ", F.split_part("path", F.lit("/"), F.lit(1)), F.regexp_extract("path", r"\.(\w+)$", 1))
+    return p5_markup.template_classes(table(spark, sf_dir, "results").filter("path IS NOT NULL"), "result_id", "text", host)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The byte_bpe_50k ids of every document."""
     return p8_encode.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -80,6 +96,9 @@ QUERIES = {
     "p2_forms_of_texts": p2_forms_of_texts,
     "p3_found": p3_found,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_clean": p5_clean,
+    "p5_template": p5_template,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
 }
