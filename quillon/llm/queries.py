@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import p1_rank, p2_forms, p3_sentences, p4_topn, p5_markup, p8_encode, p9_pack
+from quillon.llm import p1_rank, p2_forms, p3_sentences, p4_topn, p5_markup, p7_repetition, p8_encode, p9_pack
 from quillon.sources.tables import table
 
 
@@ -78,6 +78,17 @@ def p5_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_markup.template_classes(table(spark, sf_dir, "results").filter("path IS NOT NULL"), "result_id", "text", host)
 
 
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of repeated content of every result, and how sure it is that it repeats itself."""
+    return p7_repetition.judged(table(spark, sf_dir, "results"), table(spark, sf_dir, "hits"), "result_id", "text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results in which repeated phrases, sentences and paragraphs make up 40 per cent or more."""
+    rows = p7_shares(spark, sf_dir).filter(F.col("posterior") >= 0.5)
+    return rows.filter(F.col("share") >= p7_repetition.THRESHOLD).select("result_id").distinct()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The byte_bpe_50k ids of every document."""
     return p8_encode.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -99,6 +110,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_clean": p5_clean,
     "p5_template": p5_template,
+    "p7_found": p7_found,
+    "p7_shares": p7_shares,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
 }
