@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import p1_rank, p2_forms, p3_sentences, p4_topn, p5_markup, p7_repetition, p8_encode, p9_pack
+from quillon.llm import p10_residue, p1_rank, p2_forms, p3_sentences, p4_topn, p5_markup, p7_repetition, p8_encode, p9_pack
 from quillon.sources.tables import table
 
 
@@ -100,6 +100,24 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_pack.pack(sizes, "doc_id", "n_tokens")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold template residue, filler or an error page in place of content."""
+    rows = p10_residue.scored(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return rows.filter("residue").select("doc_id").distinct()
+
+
+def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of the documents free of these, with their scores."""
+    rows = p10_residue.scored(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return rows.filter("NOT residue").select("doc_id", F.round("score", 6).alias("score"))
+
+
+def p10_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of the classifier on hosts it never saw, against the weak labels."""
+    _, figures = p10_residue.train(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return spark.createDataFrame([(k, float(v)) for k, v in figures.items()], "measure string, value double")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_ranking": p1_ranking,
@@ -114,6 +132,9 @@ QUERIES = {
     "p7_shares": p7_shares,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
+    "p10_found": p10_found,
+    "p10_clean": p10_clean,
+    "p10_validation": p10_validation,
 }
 
 from quillon.llm.sql import ORACLE  # noqa: E402, F401
