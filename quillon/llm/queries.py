@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import p10_residue, p1_rank, p2_forms, p3_sentences, p4_topn, p5_markup, p7_repetition, p8_encode, p9_pack
+from quillon.llm import p10_residue, p1_rank, p2_forms, p3_sentences, p4_topn, p5_markup, p6_level, p7_repetition, p8_encode, p9_pack
 from quillon.sources.tables import table
 
 
@@ -78,6 +78,23 @@ def p5_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_markup.template_classes(table(spark, sf_dir, "results").filter("path IS NOT NULL"), "result_id", "text", host)
 
 
+def _levels(spark: SparkSession, sf_dir: str, results: DataFrame) -> DataFrame:
+    tables = (table(spark, sf_dir, t) for t in ("grade_samples", "stylometry", "reader_signals"))
+    return p6_level.graded(results, *tables, "result_id", "text", "lang")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English results of .txt files at the most demanding level."""
+    rows = _levels(spark, sf_dir, table(spark, sf_dir, "results").filter(F.col("path").endswith(".txt")))
+    return rows.filter("level = 3").select("result_id").distinct()
+
+
+def p6_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level of every English result, with its score and what the measured indices say."""
+    rows = _levels(spark, sf_dir, table(spark, sf_dir, "results"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("score", "text_level", "evidence_level")})
+
+
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of repeated content of every result, and how sure it is that it repeats itself."""
     return p7_repetition.judged(table(spark, sf_dir, "results"), table(spark, sf_dir, "hits"), "result_id", "text")
@@ -128,6 +145,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_clean": p5_clean,
     "p5_template": p5_template,
+    "p6_found": p6_found,
+    "p6_levels": p6_levels,
     "p7_found": p7_found,
     "p7_shares": p7_shares,
     "p8_ids": p8_ids,
