@@ -80,6 +80,8 @@ _FILLER = regex.compile(
     r"(?i)lorem ipsum|dolor sit amet|text goes here|(?:goes|comes) here|click to (?:add|edit)|fill (?:me |this )?in later|\btbd\b|\btodo\b|placeholder|add your|enter (?:a|your)|replace this|type the|(?:write|put) (?:two|three|your|a few|some)\b|caption for|dummy (?:copy|text)|\basdf\b|(?:\bblah\b\W*){3}|\bqwerty\b|dd/mm/yyyy|mm/dd/yyyy|_{6,}|(?:\bxxx+\b)|sample text|coming soon|under construction|untitled (?:document|page)|the quick brown fox"
 )
 _SIGNS = (_STATUS, _DEMAND, _FILLER)
+#: someone speaks of such things, so a phrase is no sure sign
+_TOLD = regex.compile(r"(?i)\b(?:taught|joked|laughed|asked us|told (?:us|me)|remembered|explained (?:that|why|how))\b")
 _WORD = regex.compile(r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{N}]")
 _SENTENCE_LIKE = regex.compile(r"[\p{L}\p{M}]{2,}(?:[ ,'’-]+[\p{L}\p{M}\p{N}]+){5,}[^.!?\n]*[.!?]|[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]{12,}")
 
@@ -115,7 +117,7 @@ def weak_label(text: str) -> int:
         return 0
     signs = sum(len(p.findall(own)) for p in _SIGNS) + (2 if len(_RENDERED.findall(own)) > 1 else 0)
     if signs:
-        return 1 if signs * 160 >= len(own) else -1
+        return 1 if signs * 160 >= len(own) and not _TOLD.search(own) else -1
     return -1 if any(p.search(flat) for p in _SIGNS) else 0
 
 
