@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import lexicons as lx
@@ -77,7 +77,7 @@ def masked_by(text: Column, pattern: str) -> Column:
     gaps = F.split(text, pattern, -1)
     blank = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.regexp_replace(m, r"[^\n]", " "))
     joined = F.array_join(F.zip_with(gaps, blank, lambda g, b: F.concat(g, F.coalesce(b, F.lit("")))), "")
-    return F.when(text.rlike(pattern), joined).otherwise(text)
+    return joined
 
 
 def suppression_pattern(marker: str) -> str:
@@ -94,13 +94,19 @@ FURNITURE = (
 )
 
 
-def masked(text: Column, path: Column, marker: str = "prose", skip_code: bool = True) -> Column:
-    """Suppressed regions blanked in every text; code blocks and furniture in Markdown ones."""
-    out = masked_by(text, suppression_pattern(marker))
-    md = out
-    for p in (*((FENCE,) if skip_code else ()), *FURNITURE):
-        md = masked_by(md, p)
-    return F.when(F.coalesce(path.rlike(r"\.(md|markdown)\z"), F.lit(False)), md).otherwise(out)
+def mask(df: DataFrame, path: str | None = "path", marker: str = "prose", skip_code: bool = True) -> DataFrame:
+    """The column ``text`` with suppressed regions blanked; code blocks and furniture too in Markdown files.
+
+    One column step per pattern: as one nested expression each would be worked out many times over."""
+    md = F.coalesce(F.col(path).rlike(r"\.(md|markdown)\z"), F.lit(False)) if path else F.lit(False)
+    off = suppression_pattern(marker)
+    steps = [(off, F.lower("text").contains(f"{marker.lower()}:"))]
+    if path:
+        steps += [(FENCE, md & F.col("text").contains("```"))] if skip_code else []
+        steps += [(q, md & F.col("text").rlike(q)) for q in FURNITURE]
+    for pattern, where in steps:
+        df = df.withColumn("text", F.when(where, masked_by(F.col("text"), pattern)).otherwise(F.col("text")))
+    return df
 
 
 def syllables(word: Column) -> Column:

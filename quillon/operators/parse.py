@@ -21,10 +21,11 @@ from quillon.functions.patterns import WS, java
 
 def prepare(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "path", mask: bool = True, marker: str = "prose", skip_code: bool = True) -> DataFrame:
     """doc_id and text, masked, placed by doc_id. Other columns are left out."""
-    clean = tx.prepared(F.col(text).cast("string"))
+    wanted = [F.col(key).alias("doc_id"), tx.prepared(F.col(text).cast("string")).alias("text")]
+    out = df.select(*wanted, *([F.col(path).cast("string").alias("path")] if mask and path else []))
     if mask:
-        clean = tx.masked(clean, F.col(path).cast("string") if path else F.lit(None).cast("string"), marker, skip_code)
-    return df.select(F.col(key).alias("doc_id"), clean.alias("text")).repartition("doc_id")
+        out = tx.mask(out, "path" if path else None, marker, skip_code)
+    return out.select("doc_id", "text").repartition("doc_id")
 
 
 def _starts(order: list[str], length: Column) -> Column:
