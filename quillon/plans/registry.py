@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from quillon.plans.oracle import ORACLE
+from quillon.plans.queries import QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
