@@ -87,6 +87,14 @@ def disagreements(weights: DataFrame) -> DataFrame:
     return weights.filter(F.abs(F.col("pin") - F.col("weight")) > 0.5)
 
 
+def _joined(values: DataFrame, per: DataFrame, group: list[str]) -> DataFrame:
+    """values with the row of their group and feature; a null group is a group."""
+    on = values["feature"] == per["feature"]
+    for g in group:
+        on = on & values[g].eqNullSafe(per[g])
+    return values.join(per, on).drop(per["feature"], *[per[g] for g in group])
+
+
 def voiceprint(style: DataFrame, by: str | None = None, strict: bool = True) -> DataFrame:
     """feature, center, scale, n_docs, n_words (per ``by``): exact medians and scaled median deviations.
 
@@ -103,7 +111,7 @@ def voiceprint(style: DataFrame, by: str | None = None, strict: bool = True) ->
         if least is None or least < VOICE_MIN_DOCS:
             raise ValueError(f"at least {VOICE_MIN_DOCS} documents of {VOICE_MIN_WORDS} words are needed; there are {least or 0}")
     med = med.filter(F.col("n_docs") >= VOICE_MIN_DOCS)
-    dev = values.join(med, [*group, "feature"]).groupBy(*group, "feature").agg(
+    dev = _joined(values, med, group).groupBy(*group, "feature").agg(
         F.max("med").alias("med"), F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"), F.max("sd").alias("sd"), F.max("n_docs").alias("n_docs"), F.max("n_words").alias("n_words")
     )
     spread = F.col("mad") * 1.4826
@@ -117,7 +125,7 @@ def deviations(style: DataFrame, voice: DataFrame, by: str | None = None) -> Dat
     group = [by] if by else []
     values = long_form(style, VOICE_FEATURES, ("doc_id", *group))
     usual = voice.filter(F.col("scale") > 1e-9).select(*group, "feature", "center", "scale")
-    j = values.join(usual if by else F.broadcast(usual), [*group, "feature"])
+    j = _joined(values, usual if by else F.broadcast(usual), group)
     return j.select("doc_id", "feature", F.round((F.col("value") - F.col("center")) / F.col("scale"), 2).alias("z"))
 
 

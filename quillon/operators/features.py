@@ -26,6 +26,11 @@ def _zero(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0))
 
 
+def _exact(c: Column, digits: int) -> Column:
+    """Rounded half up on the decimal value, so that the last bits of a sum decide nothing."""
+    return F.round(c.cast("decimal(20,9)"), digits).cast("double")
+
+
 def _on_all(p: Parsed, part: DataFrame) -> DataFrame:
     """part on every document, nulls where it has no row."""
     return p.docs.select("doc_id").join(part, "doc_id", "left")
@@ -100,11 +105,11 @@ def cadence(p: Parsed) -> DataFrame:
     verdict = F.when(F.col("score").isNull(), "n/a").when(F.col("score") >= 0.17, "choppy").otherwise("ok")
     return j.select(
         "doc_id",
-        F.round(_zero("score"), 4).alias("choppiness"),
-        F.round(_zero("s"), 4).alias("short_share"),
-        F.round(_zero("v"), 4).alias("verbless_share"),
-        F.round(_zero("r"), 4).alias("run_mass"),
-        F.round(_zero("mean"), 2).alias("mean_sentence_len"),
+        _exact(_zero("score"), 4).alias("choppiness"),
+        _exact(_zero("s"), 4).alias("short_share"),
+        _exact(_zero("v"), 4).alias("verbless_share"),
+        _exact(_zero("r"), 4).alias("run_mass"),
+        _exact(_zero("mean"), 2).alias("mean_sentence_len"),
         verdict.alias("verdict"),
     )
 

@@ -66,9 +66,9 @@ para_pieces AS (
   SELECT doc_id, unnest(string_split(p, chr(1))) AS para, unnest(range(len(string_split(p, chr(1))))) AS i
   FROM (SELECT doc_id, regexp_replace(text, {q(rf'\n({WS}*\n)')}, chr(1) || chr(10) || '\\1', 'g') AS p FROM docs)),
 paras AS (
-  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS para_no, i, at + length(para) - length(regexp_replace(para, {_LEAD}, '')) AS "start",
-    at + length(para) - length(regexp_replace(para, {_LEAD}, '')) + length(t) AS "end", t AS text, len({words('t')}) AS n_words
-  FROM (SELECT *, coalesce(sum(length(para)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at,
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS para_no, i, ofs + length(para) - length(regexp_replace(para, {_LEAD}, '')) AS "start",
+    ofs + length(para) - length(regexp_replace(para, {_LEAD}, '')) + length(t) AS "end", t AS text, len({words('t')}) AS n_words
+  FROM (SELECT *, coalesce(sum(length(para)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ofs,
           regexp_replace(para, {_STRIP}, '', 'g') AS t FROM para_pieces)
   WHERE t <> '')"""
 
@@ -77,9 +77,9 @@ sent_pieces AS (
   SELECT doc_id, i, unnest(string_split(c, chr(1))) AS piece, unnest(range(len(string_split(c, chr(1))))) AS j
   FROM (SELECT doc_id, i, {_CUT} AS c FROM para_pieces)),
 sents0 AS (
-  SELECT doc_id, i, j, at + length(piece) - length(regexp_replace(piece, {_LEAD}, '')) AS "start",
-    at + length(piece) - length(regexp_replace(piece, {_LEAD}, '')) + length(t) AS "end", t AS text, {words('t')} AS ws
-  FROM (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at,
+  SELECT doc_id, i, j, ofs + length(piece) - length(regexp_replace(piece, {_LEAD}, '')) AS "start",
+    ofs + length(piece) - length(regexp_replace(piece, {_LEAD}, '')) + length(t) AS "end", t AS text, {words('t')} AS ws
+  FROM (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ofs,
           regexp_replace(piece, {_STRIP}, '', 'g') AS t FROM sent_pieces)
   WHERE t <> ''),
 sents AS (
@@ -100,8 +100,8 @@ TOKENS = f"""
 token_gaps AS (
   SELECT doc_id, unnest(string_split_regex(text, {WORD})) AS gap, unnest({words('text')}) AS word, unnest(range(len(string_split_regex(text, {WORD})))) AS pos FROM docs),
 tokens AS (
-  SELECT doc_id, pos, at + length(gap) AS "start", at + length(gap) + length(word) AS "end", word, lower(word) AS lword
-  FROM (SELECT *, coalesce(sum(length(gap) + coalesce(length(word), 0)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM token_gaps)
+  SELECT doc_id, pos, ofs + length(gap) AS "start", ofs + length(gap) + length(word) AS "end", word, lower(word) AS lword
+  FROM (SELECT *, coalesce(sum(length(gap) + coalesce(length(word), 0)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ofs FROM token_gaps)
   WHERE word IS NOT NULL)"""
 
 
@@ -132,8 +132,8 @@ short AS (SELECT *, sum((NOT is_short)::int) OVER (PARTITION BY doc_id ORDER BY
 cad AS (SELECT doc_id, {ratio('sum(CASE WHEN is_short THEN n_words ELSE 0 END)', 'sum(n_words)')} AS s, avg((NOT finite)::int) AS v,
   {ratio('sum(CASE WHEN is_short AND run >= 3 THEN n_words ELSE 0 END)', 'sum(n_words)')} AS r, avg(n_words) AS mean
   FROM (SELECT *, sum(is_short::int) OVER (PARTITION BY doc_id, island) AS run FROM short) GROUP BY doc_id),
-cadence AS (SELECT doc_id, round(coalesce(0.45 * s + 0.35 * v + 0.20 * r, 0), 4) AS choppiness, round(coalesce(s, 0), 4) AS short_share, round(coalesce(v, 0), 4) AS verbless_share,
-  round(coalesce(r, 0), 4) AS run_mass, round(coalesce(mean, 0), 2) AS mean_sentence_len,
+cadence AS (SELECT doc_id, round(coalesce(0.45 * s + 0.35 * v + 0.20 * r, 0)::DECIMAL(20,9), 4)::DOUBLE AS choppiness, round(coalesce(s, 0)::DECIMAL(20,9), 4)::DOUBLE AS short_share, round(coalesce(v, 0)::DECIMAL(20,9), 4)::DOUBLE AS verbless_share,
+  round(coalesce(r, 0)::DECIMAL(20,9), 4)::DOUBLE AS run_mass, round(coalesce(mean, 0)::DECIMAL(20,9), 2)::DOUBLE AS mean_sentence_len,
   CASE WHEN s IS NULL THEN 'n/a' WHEN 0.45 * s + 0.35 * v + 0.20 * r >= 0.17 THEN 'choppy' ELSE 'ok' END AS verdict FROM docs LEFT JOIN cad USING (doc_id))"""
 
 _CONTENT = f"lword NOT IN {inlist(lx.FUNCTION_WORDS)}"
@@ -255,12 +255,21 @@ voice AS (SELECT {k}feature, round(max(med), 6) AS center, round(CASE WHEN media
 
 _DEVICES = ", ".join(f"{n_of('text', p)} AS {k}" for k, p in pt.DEVICES.items() if k != "repetition")
 _QUOTES = f"""quoted AS (
-  SELECT doc_id, at + length(gap) AS qs, at + length(gap) + length(m) AS qe FROM (
-    SELECT *, coalesce(sum(length(gap) + coalesce(length(m), 0)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM (
+  SELECT doc_id, ofs + length(gap) AS qs, ofs + length(gap) + length(m) AS qe FROM (
+    SELECT *, coalesce(sum(length(gap) + coalesce(length(m), 0)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ofs FROM (
       SELECT doc_id, unnest(string_split_regex(text, {q(pt.QUOTED_SPAN)})) AS gap, unnest(regexp_extract_all(text, {q(pt.QUOTED_SPAN)})) AS m, unnest(range(len(string_split_regex(text, {q(pt.QUOTED_SPAN)})))) AS i FROM docs))
   WHERE m IS NOT NULL)"""
 
 _SPANS = '"start"::INT AS "start", "end"::INT AS "end"'
+# letters beyond ASCII made one ASCII letter, as word boundaries are those of ASCII here
+def ascii_letters(col: str) -> str:
+    letters = r"[\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{2ff}\x{370}-\x{167f}\x{1681}-\x{1fff}\x{2c00}-\x{2dff}\x{3040}-\x{d7ff}\x{f900}-\x{fdff}\x{ff10}-\x{ffdc}]"
+    return f"regexp_replace({col}, {q(letters)}, 'q', 'g')"
+
+
+_REVISED = f"""docs AS (SELECT doc_id || ':before' AS doc_id, replace({SEEDED_TEXT}, chr(1), ' ') AS text FROM documents
+  UNION ALL SELECT doc_id || ':after', replace(coalesce(text, ''), chr(1), ' ') FROM documents)"""
+
 ORACLE: dict[str, str] = {
     "document_profile": f"WITH {DOCS}, {SENTS}, {METRICS}, {STYLE} SELECT metrics.doc_id, metrics.sentences, metrics.words, mean_len, stdev_len, cv, pct_short, pct_long, lexical_density FROM metrics JOIN style USING (doc_id)",
     "masked_documents": f"WITH {DOCS} SELECT doc_id, length(text)::BIGINT AS chars, md5(text) AS digest FROM docs",
@@ -280,7 +289,7 @@ ORACLE: dict[str, str] = {
     "readability": f"WITH {DOCS}, {SENTS}, {FREQ}, {READABLE} SELECT * FROM readable",
     "person_mix": f"""WITH {SEEDED}, {SENTS}, you AS (SELECT doc_id, sum(CASE WHEN {_ADDRESS} THEN 0 ELSE n END) AS g, sum(CASE WHEN {_ADDRESS} THEN n ELSE 0 END) AS a
       FROM (SELECT doc_id, text, {n_of(_UNTHANKED, pt.SECOND)} AS n FROM sents) GROUP BY doc_id)
-      SELECT doc_id, greatest(1, len({words('text')}))::BIGINT AS words, {n_of('text', pt.FIRST_PLURAL)}::BIGINT AS first_plural, {n_of('text', pt.FIRST_SINGULAR)}::BIGINT AS first_singular,
+      SELECT doc_id, greatest(1, len({words('text')}))::BIGINT AS words, {n_of(ascii_letters('text'), pt.FIRST_PLURAL)}::BIGINT AS first_plural, {n_of(ascii_letters('text'), pt.FIRST_SINGULAR)}::BIGINT AS first_singular,
       coalesce(g, 0)::BIGINT AS second_generic, coalesce(a, 0)::BIGINT AS second_address, round(coalesce(g, 0) / greatest(1, len({words('text')})) * 1000, 2) AS generic_per_1k FROM docs LEFT JOIN you USING (doc_id)""",
     "pattern_rule_counts": f"WITH {SEEDED}, {COUNTS} SELECT * FROM counts",
     "vocab_hits": f"""WITH {SEEDED}, {TOKENS}, {_QUOTES} SELECT doc_id, {_SPANS}, word AS text FROM tokens t WHERE replace(lword, '’', '''') IN {inlist(lx.EXCESS_VOCABULARY)}
@@ -321,5 +330,14 @@ ORACLE: dict[str, str] = {
       SELECT feature, round(mm, 4) AS machine_mean, round(hm, 4) AS human_mean, round(CASE WHEN sqrt((mv + hv) / 2) < 1e-12 THEN 0 ELSE (mm - hm) / sqrt((mv + hv) / 2) END, 3) AS cohens_d FROM g""",
     "voiceprint": f"WITH {PLAIN}, {SENTS}, {STYLE}, {voice('genre')} SELECT * FROM voice",
     "voice_deviations": f"""WITH {PLAIN}, {SENTS}, {STYLE}, {voice('')}, every AS ({long('style', _VOICE, 'doc_id')})
-      SELECT doc_id, feature, round((value - center) / scale, 2) AS z FROM every JOIN voice USING (feature) WHERE scale > 1e-9""",
+      SELECT doc_id, feature, round((value - center) / scale, 2) + 0.0 AS z FROM every JOIN voice USING (feature) WHERE scale > 1e-9""",
+    "drift_verdicts": f"""WITH {_REVISED}, {SENTS} {FINITE}, {CADENCE}, {STYLE}, {COUNTS}, hits AS (SELECT doc_id, sum(n) AS n FROM counts GROUP BY doc_id),
+      sided AS (SELECT string_split(doc_id, ':')[1]::BIGINT AS pair_id, string_split(doc_id, ':')[2] AS side, hits.n AS h, choppiness AS c, lexical_density AS d, entropy_norm AS e, verdict AS v
+        FROM cadence JOIN style USING (doc_id) JOIN hits USING (doc_id)),
+      j AS (SELECT b.pair_id, b.h::BIGINT AS hits_before, a.h::BIGINT AS hits_after, b.c AS choppiness_before, a.c AS choppiness_after, b.d AS density_before, a.d AS density_after,
+        b.e AS entropy_before, a.e AS entropy_after, a.v AS va FROM sided b JOIN sided a USING (pair_id) WHERE b.side = 'before' AND a.side = 'after')
+      SELECT pair_id, hits_before, hits_after, choppiness_before, choppiness_after, density_before, density_after, entropy_before, entropy_after,
+        CASE WHEN choppiness_after - choppiness_before >= 0.03::DOUBLE OR (va = 'choppy' AND choppiness_after > choppiness_before) THEN 'choppy' WHEN hits_before <= hits_after AND hits_after = 0 THEN 'overfit'
+          WHEN hits_before - hits_after < 1 THEN 'churned' WHEN density_after - density_before <= -0.015::DOUBLE AND abs(choppiness_after - choppiness_before) < 0.02::DOUBLE THEN 'traded' ELSE 'improved' END AS verdict,
+        CASE WHEN abs(choppiness_after - choppiness_before) >= 0.02::DOUBLE THEN 'density and burstiness move with choppiness' END AS note FROM j""",
 }
