@@ -23,11 +23,11 @@ def words(text: Column) -> Column:
 
 def count(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     """Matches of a pattern."""
-    return F.regexp_count(text, F.lit(("(?iu)" if ignore_case else "") + java(pattern)))
+    return F.regexp_count(text, F.lit(("(?i)" if ignore_case else "") + java(pattern)))
 
 
 def has(text: Column, pattern: str) -> Column:
-    return text.rlike("(?iu)" + java(pattern))
+    return text.rlike("(?i)" + java(pattern))
 
 
 def strip(text: Column) -> Column:
@@ -57,7 +57,7 @@ def sentence_pieces(text: Column) -> Column:
 
 def spans(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     """array<struct<start, end, text>> of the matches of a pattern, for patterns with few matches a text."""
-    p = ("(?iu)" if ignore_case else "") + java(pattern)
+    p = ("(?i)" if ignore_case else "") + java(pattern)
     found = F.regexp_extract_all(text, F.lit(p), F.lit(0))
     gaps = F.transform(F.split(text, p, -1), F.length)
     lens = F.transform(found, F.length)
@@ -140,4 +140,4 @@ def has_finite_verb(ws: Column) -> Column:
 
 def lead_stripped(text: Column) -> Column:
     """The text without blanks around it and without a conjunction in front."""
-    return F.regexp_replace(strip(text), "(?iu)" + java(pt.LEAD), "")
+    return F.regexp_replace(strip(text), "(?i)" + java(pt.LEAD), "")

@@ -267,7 +267,7 @@ def reader_notes(signals: DataFrame) -> DataFrame:
 
 def person_mix(p: Parsed) -> DataFrame:
     """Counts of first persons, and of 'you' addressed or meant for anyone."""
-    s = p.sentences.select("doc_id", tx.count(F.regexp_replace("text", "(?iu)" + pt.java(pt.THANKS), " "), pt.SECOND).alias("you"), is_address(F.col("text")).alias("address"))
+    s = p.sentences.select("doc_id", tx.count(F.regexp_replace("text", "(?i)" + pt.java(pt.THANKS), " "), pt.SECOND).alias("you"), is_address(F.col("text")).alias("address"))
     agg = s.groupBy("doc_id").agg(F.sum(F.when(F.col("address"), 0).otherwise(F.col("you"))).alias("generic"), F.sum(F.when(F.col("address"), F.col("you")).otherwise(0)).alias("addressed"))
     t = F.col("text")
     base = p.docs.select("doc_id", F.size(tx.words(t)).alias("n"), tx.count(t, pt.FIRST_PLURAL).alias("we"), tx.count(t, pt.FIRST_SINGULAR).alias("i"))

@@ -51,9 +51,10 @@ def _contained_dropped(runs: DataFrame) -> DataFrame:
 
 
 def _units(df: DataFrame, order: str) -> DataFrame:
-    ws = tx.words(tx.lead_stripped(F.col("text")))
-    own = tx.words(F.col("text"))
-    return df.select("*", _skeleton(ws).alias("skeleton"), F.lower(F.get(ws, F.lit(0))).alias("lead"), F.get(own, F.lit(0)).rlike("^[A-Z]").alias("proper"))
+    ws = F.col("ws")  # a column of its own, so that it is worked out once a unit
+    d = df.withColumn("ws", tx.words(tx.lead_stripped(F.col("text"))))
+    own = F.regexp_extract("text", pt.WORD, 0)
+    return d.select("*", _skeleton(ws).alias("skeleton"), F.lower(F.get(ws, F.lit(0))).alias("lead"), own.rlike("^[A-Z]").alias("proper")).drop("ws")
 
 
 def _carriers_cut(segs: DataFrame) -> DataFrame:
@@ -61,18 +62,18 @@ def _carriers_cut(segs: DataFrame) -> DataFrame:
 
     The length that counts is the upper median of the segments between."""
     whole = Window.partitionBy("doc_id", "sent_no")
-    n = F.size(tx.words(F.col("text")))
-    s = segs.withColumn("of", F.count(F.lit(1)).over(whole)).filter(F.col("of") >= MIN_RUN)
+    s = segs.withColumn("of", F.count(F.lit(1)).over(whole)).filter(F.col("of") >= MIN_RUN).withColumn("n", F.size(tx.words(F.col("text"))))
     middle = (F.col("seg_no") > 0) & (F.col("seg_no") < F.col("of") - 1)
-    s = s.withColumn("lens", F.array_sort(F.collect_list(F.when(middle, n)).over(whole)))
+    s = s.withColumn("lens", F.array_sort(F.collect_list(F.when(middle, F.col("n"))).over(whole)))
     s = s.withColumn("keep", F.get("lens", F.floor(F.size("lens") / 2).cast("int")))
-    own = tx.words(F.regexp_replace("text", "(?iu)" + pt.java(pt.LEAD), ""))
+    s = s.withColumn("own", tx.words(F.regexp_replace("text", "(?i)" + pt.java(pt.LEAD), "")))
+    own = F.col("own")
     cut = F.col("keep") >= 1
     first = cut & (F.col("seg_no") == 0) & (F.size(own) > F.col("keep"))
     last = cut & (F.col("seg_no") == F.col("of") - 1) & (F.size(own) > F.col("keep"))
     trimmed = F.when(first, F.array_join(F.slice(own, F.size(own) - F.col("keep") + 1, F.col("keep")), " ")).when(last, F.array_join(F.slice(own, 1, F.col("keep")), " ")).otherwise(F.col("text"))
-    s = s.withColumn("trimmed", trimmed)
-    return _units(s, "seg_no").withColumn("skeleton", _skeleton(tx.words(tx.lead_stripped(F.col("trimmed")))))
+    s = _units(s.withColumn("trimmed", trimmed), "seg_no").withColumn("ws", tx.words(tx.lead_stripped(F.col("trimmed"))))
+    return s.withColumn("skeleton", _skeleton(F.col("ws"))).drop("ws", "own", "n")
 
 
 def runs(p: Parsed) -> DataFrame:
@@ -99,26 +100,25 @@ def runs(p: Parsed) -> DataFrame:
     return _contained_dropped(every)
 
 
-def _pair_reason(left: Column, right: Column) -> Column:
-    """Why two units make a balanced pair; null if they do not."""
-    a, b = tx.words(tx.lead_stripped(left)), tx.words(tx.lead_stripped(right))
-    la, lb = F.transform(a, F.lower), F.transform(b, F.lower)
-    na, nb = F.size(a), F.size(b)
-    fits = na.between(2, LONGEST_UNIT) & nb.between(2, LONGEST_UNIT) & (F.abs(na - nb) <= 3)
+def _paired(pairs: DataFrame) -> DataFrame:
+    """Pairs (left, right) that are balanced, with the reason. What a test needs is a column first, worked out once."""
     functional, pronouns, negators = sorted(lx.FUNCTION_WORDS), sorted(lx.PRONOUNS), sorted(lx.NEGATORS)
-    anchor = F.array_min(F.filter(F.array_intersect(la, lb), lambda w: ~w.isin(*pronouns) & (~w.isin(*functional) | w.isin(*negators))))
-    neg_a, neg_b = tx.has(left, pt.NEGATOR), tx.has(right, pt.NEGATOR)
-    strong = tx.has(left, pt.STRONG_NEGATOR) != tx.has(right, pt.STRONG_NEGATOR)
-    a0, b0 = F.get(la, F.lit(0)), F.get(lb, F.lit(0))
-    same = a0 == b0
-    return F.when(
-        fits,
+    na, nb = F.size("a"), F.size("b")
+    d = pairs.withColumns({"a": tx.words(tx.lead_stripped(F.col("left"))), "b": tx.words(tx.lead_stripped(F.col("right")))})
+    d = d.filter(na.between(2, LONGEST_UNIT) & nb.between(2, LONGEST_UNIT) & (F.abs(na - nb) <= 3))
+    d = d.withColumns({"la": F.transform("a", F.lower), "lb": F.transform("b", F.lower), "neg_a": tx.has(F.col("left"), pt.NEGATOR), "neg_b": tx.has(F.col("right"), pt.NEGATOR)})
+    d = d.withColumn("anchor", F.array_min(F.filter(F.array_intersect("la", "lb"), lambda w: ~w.isin(*pronouns) & (~w.isin(*functional) | w.isin(*negators)))))
+    strong = tx.has(F.col("left"), pt.STRONG_NEGATOR) != tx.has(F.col("right"), pt.STRONG_NEGATOR)
+    a0, a1 = F.get("la", F.lit(0)), F.get("la", F.lit(1))
+    same, anchor = a0 == F.get("lb", F.lit(0)), F.col("anchor")
+    reason = (
         F.when(same & ~a0.isin(*pronouns), F.concat(F.lit("anaphora on '"), a0, F.lit("'")))
-        .when(same & (F.get(la, F.lit(1)) == F.get(lb, F.lit(1))), F.concat(F.lit("repeated opening '"), F.get(a, F.lit(0)), F.lit(" "), F.get(a, F.lit(1)), F.lit("'")))
-        .when(strong & same & (F.abs(na - nb) <= 2), F.lit("antithesis, same opening"))
-        .when((neg_a != neg_b) & anchor.isNotNull(), F.concat(F.lit("antithesis on '"), anchor, F.lit("'")))
-        .when(neg_a & neg_b & anchor.isin(*negators), F.concat(F.lit("negated pair on '"), anchor, F.lit("'"))),
+        .when(same & (a1 == F.get("lb", F.lit(1))), F.concat(F.lit("repeated opening '"), F.get("a", F.lit(0)), F.lit(" "), F.get("a", F.lit(1)), F.lit("'")))
+        .when(same & (F.abs(na - nb) <= 2) & strong, F.lit("antithesis, same opening"))
+        .when((F.col("neg_a") != F.col("neg_b")) & anchor.isNotNull(), F.concat(F.lit("antithesis on '"), anchor, F.lit("'")))
+        .when(F.col("neg_a") & F.col("neg_b") & anchor.isin(*negators), F.concat(F.lit("negated pair on '"), anchor, F.lit("'")))
     )
+    return d.withColumn("reason", reason).filter("reason IS NOT NULL")
 
 
 def doublets(p: Parsed) -> DataFrame:
@@ -127,7 +127,7 @@ def doublets(p: Parsed) -> DataFrame:
     for df, keys, order, rank in ((p.segments, ["doc_id", "sent_no"], "seg_no", 0), (p.sentences, ["doc_id"], "sent_no", 1)):
         w = Window.partitionBy(*keys).orderBy(order)
         u = df.select(*dict.fromkeys(["doc_id", *keys, order]), "start", F.col("text").alias("left"), F.lead("text").over(w).alias("right"), F.lead("end").over(w).alias("end"))
-        u = u.filter("right IS NOT NULL").withColumn("reason", _pair_reason(F.col("left"), F.col("right"))).filter("reason IS NOT NULL")
+        u = _paired(u.filter("right IS NOT NULL"))
         shown = F.substring(F.concat(tx.strip(F.col("left")), F.lit(" | "), tx.strip(F.col("right"))), 1, 70)
         parts.append(u.select("doc_id", "start", "end", "reason", shown.alias("preview"), F.lit(2).alias("arity"), F.lit(rank).alias("level_rank"), F.lit(0).alias("kind_rank")))
     return _contained_dropped(parts[0].unionByName(parts[1])).drop("arity")

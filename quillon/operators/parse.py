@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quillon.functions import patterns as pt
 from quillon.functions import text as tx
 from quillon.functions.patterns import WS, java
+from quillon.session import default_parallelism
 
 
 def prepare(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "path", mask: bool = True, marker: str = "prose", skip_code: bool = True) -> DataFrame:
@@ -25,7 +26,8 @@ def prepare(df: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     out = df.select(*wanted, *([F.col(path).cast("string").alias("path")] if mask and path else []))
     if mask:
         out = tx.mask(out, "path" if path else None, marker, skip_code)
-    return out.select("doc_id", "text").repartition("doc_id")
+    # the number is given, as parsing costs far more a byte than adaptive planning reckons with when it merges partitions
+    return out.select("doc_id", "text").repartition(default_parallelism(df.sparkSession), "doc_id")
 
 
 def _starts(order: list[str], length: Column) -> Column:

@@ -91,7 +91,7 @@ def pattern_hits(p: Parsed, rules: list[str]) -> DataFrame:
 
 
 def tx_has(pattern: str, rule: str) -> Column:
-    return F.col("text").rlike(("" if rule in pt.CASE_SENSITIVE else "(?iu)") + pt.java(pattern))
+    return F.col("text").rlike(("" if rule in pt.CASE_SENSITIVE else "(?i)") + pt.java(pattern))
 
 
 def vocab(p: Parsed, c: Config) -> DataFrame:
@@ -189,14 +189,14 @@ def closer(p: Parsed, c: Config) -> DataFrame:
 def specifics(text: Column) -> Column:
     """How many numbers, units, quoted or code terms, number words and names a text has."""
     named = sum((tx.count(text, q) for q in (pt.UNIT, pt.QUOTED_TERM, pt.CODE_TERM, pt.NUMBER_WORD)), tx.count(text, pt.YEAR))
-    plain = F.when(named == 0, tx.count(text, pt.NUMERAL)).otherwise(0)
+    plain = F.when(~tx.has(text, "|".join((pt.YEAR, pt.UNIT, pt.QUOTED_TERM, pt.CODE_TERM, pt.NUMBER_WORD))), tx.count(text, pt.NUMERAL)).otherwise(0)
     inside = rf"(?<![.!?]{pt.WS}{{0,20}})(?<!\A{pt.WS}{{0,20}})" + pt.PROPER
     return named + plain + tx.count(text, inside, ignore_case=False)
 
 
 def vague(p: Parsed, c: Config) -> DataFrame:
     """Paragraphs long enough to owe something specific that have nothing."""
-    s = p.paragraphs.filter((F.col("n_words") >= c.vague_min_words) & (specifics(F.col("text")) == 0))
+    s = p.paragraphs.filter(F.col("n_words") >= c.vague_min_words).withColumn("specifics", specifics(F.col("text"))).filter("specifics = 0")
     return _hits(s, "vague", F.substring("text", 1, 70), F.concat("n_words", F.lit("w paragraph")))
 
 
@@ -224,7 +224,7 @@ def person(p: Parsed, c: Config) -> DataFrame | None:
     """Sentences with a 'you' for anyone, beyond the budget; off without one."""
     if c.person_budget_per_1k is None:
         return None
-    s = p.sentences.filter(tx.has(F.regexp_replace("text", "(?iu)" + pt.java(pt.THANKS), " "), pt.SECOND) & ~is_address(F.col("text")))
+    s = p.sentences.filter(tx.has(F.regexp_replace("text", "(?i)" + pt.java(pt.THANKS), " "), pt.SECOND) & ~is_address(F.col("text")))
     over = _over_budget(s.select("doc_id", "sent_no", "start", "end", "text"), p, c.person_budget_per_1k, ["sent_no"])
     return _hits(over, "person", F.substring("text", 1, 70), "generic 'you'")
 
