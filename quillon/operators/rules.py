@@ -73,27 +73,31 @@ def _hits(df: DataFrame, rule: str | Column, text: Column, note: Column | str =
     )
 
 
-def _tagged(rule: str):
-    return lambda m: F.struct(F.lit(rule).alias("rule_id"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"))
-
-
 def pattern_hits(p: Parsed, rules: list[str]) -> DataFrame:
-    """Every match of every pattern of the rules; patterns of one rule may overlap and all count."""
-    found = []
+    """Every match of every pattern of the rules; patterns of one rule may overlap and all count.
+
+    One pass cuts each text by the patterns it has; where the matches stand is then worked out by one
+    expression for all patterns, from the lengths of matches and of what lies between."""
+    cuts = []
     for r in rules:
+        flags = "" if r in pt.CASE_SENSITIVE else "(?i)"
         for q in pt.RULES[r].patterns:
-            s = tx.spans(F.col("text"), q, r not in pt.CASE_SENSITIVE)
-            found.append(F.when(tx_has(q, r), F.transform(s, _tagged(r))))
-    every = F.flatten(F.array_compact(F.array(*found)))
-    cut = p.docs.select("doc_id", F.explode(every).alias("h")).select("doc_id", "h.*")
+            q = flags + pt.java(q)
+            cut = F.struct(F.lit(r).alias("rule_id"), F.regexp_extract_all("text", F.lit(q), F.lit(0)).alias("found"), F.split("text", q, -1).alias("gaps"))
+            cuts.append(F.when(F.col("text").rlike(q), cut))
+    per = p.docs.select("doc_id", F.explode(F.array(*cuts)).alias("c")).filter("c IS NOT NULL")
+    per = per.select("doc_id", "c.rule_id", F.posexplode(F.arrays_zip(F.col("c.gaps"), F.col("c.found"))).alias("i", "z"), F.transform("c.gaps", F.length).alias("gl"), F.transform("c.found", F.length).alias("fl"))
+    per = per.select("doc_id", "rule_id", "i", "gl", "fl", F.col("z.found").alias("text")).filter("text IS NOT NULL")
+
+    def total(c: Column) -> Column:
+        return F.aggregate(c, F.lit(0), lambda x, y: x + y)
+
+    start = total(F.slice("gl", 1, F.col("i") + 1)) + total(F.slice("fl", 1, F.col("i")))
+    cut = per.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
     shown = F.when(F.col("rule_id").isin(*pt.CASE_SENSITIVE), F.col("text")).otherwise(tx.strip(F.col("text")))
     return _hits(cut, F.col("rule_id"), shown)
 
 
-def tx_has(pattern: str, rule: str) -> Column:
-    return F.col("text").rlike(("" if rule in pt.CASE_SENSITIVE else "(?i)") + pt.java(pattern))
-
-
 def vocab(p: Parsed, c: Config) -> DataFrame:
     """Words of the list in their exact form, unless quoted or allowed."""
     wanted = sorted(lx.EXCESS_VOCABULARY - set(c.allow))
