@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import patterns as pt
 from quillon.functions import text as tx
-from quillon.operators import corpus, features, parallelism, review, rules, sequence, templates
+from quillon.operators import corpus, features, parallelism, review, rules
 from quillon.operators.parse import Parsed, parse
 from quillon.plans.seeds import TRIGGERS
 from quillon.sources.tables import table
@@ -204,24 +204,30 @@ def all_rule_counts(spark, d):
     return rules.counts(rules.hits(p, rules.Config(min_sentence_words=5)), p.docs, spark)
 
 
+def _templates():
+    from quillon.operators import templates  # brings pandas in, which other queries need not have
+
+    return templates
+
+
 def tag_ngram_repeat(spark, d):
-    return templates.repeat_mass(_parsed(spark, d), 4)
+    return _templates().repeat_mass(_parsed(spark, d), 4)
 
 
 def template_rates(spark, d):
-    return templates.template_rates(_parsed(spark, d))
+    return _templates().template_rates(_parsed(spark, d))
 
 
 def top_templates(spark, d):
-    return templates.top_templates(_parsed(spark, d))
+    return _templates().top_templates(_parsed(spark, d))
 
 
 def compression_ratio(spark, d):
-    return templates.compression_ratio(_parsed(spark, d))
+    return _templates().compression_ratio(_parsed(spark, d))
 
 
 def structure_against_chance(spark, d):
-    return templates.against_chance(_parsed(spark, d))
+    return _templates().against_chance(_parsed(spark, d))
 
 
 def _noted(spark, d):
@@ -314,6 +320,7 @@ def alignment_scores(spark, d):
     from pyspark.sql import Window
 
     from quillon.functions import lexicons as lx
+    from quillon.operators import sequence
 
     functional = sorted(lx.FUNCTION_WORDS)
     cls = F.transform(F.transform("words", F.lower), lambda w: F.when(w.isin(*functional), w).otherwise("#"))
@@ -324,9 +331,12 @@ def alignment_scores(spark, d):
 
 def perplexity_windows(spark, d):
     """Surprise under the word frequencies of the document itself, in place of a language model."""
+    from pyspark.sql import Window
+
+    from quillon.operators import sequence
+
     p = _parsed(spark, d)
     f = features.word_frequencies(p)
-    from pyspark.sql import Window
 
     f = f.withColumn("lp", F.log(F.col("n") / F.sum("n").over(Window.partitionBy("doc_id"))))
     t = p.tokens.select("doc_id", "pos", "lword").join(f.select("doc_id", "lword", "lp"), ["doc_id", "lword"])
