@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.lookalikes import SAME_LENGTH
+from quillon.session import checkpointed
 
 DIMS = 1 << 16
 SAMPLE = 3000
@@ -147,11 +148,12 @@ def _grams(words: list[str]) -> np.ndarray:
     return np.unique((every >> np.uint64(40)) % np.uint64(DIMS - 64)).astype(np.int32) + 64
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values: hashed n-grams of the text's own words scaled to length one, and 0..63 layout features."""
-    flat = flatten(text)
-    own = own_words(flat)
-    held = fields(own)
+def features(text: str, own: str | None = None, held: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and values: hashed n-grams of the text's own words scaled to length one, and 0..63 layout features.
+
+    ``own`` and ``held`` are the text's own words and its number of fields, if they are known already."""
+    own = own_words(flatten(text)) if own is None else own
+    held = fields(own) if held is None else held
     lower = (_FIELD.sub(" \ufffcfield ", own) if held else own).lower()
     words = [("0" if w[0].isnumeric() else w) for w in _WORD.findall(lower)]
     idx = _grams(words)
@@ -209,8 +211,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 12, penalt
     return w
 
 
-def score(w: np.ndarray, text: str) -> float:
-    idx, val = features(text)
+def score(w: np.ndarray, text: str, own: str | None = None, held: int | None = None) -> float:
+    idx, val = features(text, own, held)
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(w[idx] @ val)))))
 
 
@@ -219,10 +221,10 @@ def _labelled(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, ks, labels, lens = [], [], [], []
+            hosts, ks, labels = [], [], []
             for k, t, h in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if t and not t.isspace() and (y := weak_label(t)) >= 0:
-                    hosts.append(h), ks.append(k), labels.append(y), lens.append(len(t))
+                    hosts.append(h), ks.append(k), labels.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(ks, b.column(0).type), pa.array(labels, pa.int32())], names=["host", key, "label"])
 
     src = df.select(F.col(key), F.col(text).cast("string").alias("text_"), F.col(host).cast("string").alias("host"))
@@ -231,7 +233,7 @@ def _labelled(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
 
 def _sample(df: DataFrame, key: str, text: str, host: str, sample: int) -> tuple[list, list]:
     """Training rows and rows of the hosts held out: label and features of at most ``sample`` rows of each kind."""
-    labels = _labelled(df, key, text, host).filter(F.col(key).isNotNull())
+    labels = checkpointed(_labelled(df, key, text, host).filter(F.col(key).isNotNull()))  # ids and labels only
     order = F.xxhash64(F.lit(11), F.col(key))
     picked = None
     for y in (0, 1):
@@ -275,15 +277,12 @@ def train(df: DataFrame, key: str, text: str, host: str, sample: int = SAMPLE) -
     }
 
 
-def is_residue(text: str, p: float) -> bool:
+def is_residue(own: str, held: int, p: float) -> bool:
     """The decision for a text scored ``p``: a check of what is the text's own follows the classifier."""
-    flat = flatten(text)
-    own = own_words(flat).strip()
-    if fields(own):
-        return p >= 0.5
-    if len(own) > SHORT and not is_filler(regex.findall(r"\p{L}+", own.lower())):
-        return False  # a long text without own fields has content of its own
-    return p >= 0.5
+    if p < 0.5:
+        return False
+    # a long text without own fields has content of its own, unless it says the same few words over and over
+    return bool(held) or len(own.strip()) <= SHORT or is_filler(regex.findall(r"\p{L}+", own.lower()))
 
 
 def scored(df: DataFrame, key: str, text: str, host: str, sample: int = SAMPLE) -> DataFrame:
@@ -299,8 +298,10 @@ def scored(df: DataFrame, key: str, text: str, host: str, sample: int = SAMPLE)
                 if not t or t.isspace():
                     ps.append(None), out.append(False)
                     continue
-                p = float(weak_label(t) == 1) if w is None else score(w, t)
-                ps.append(p), out.append(is_residue(t, p))
+                own = own_words(flatten(t))
+                held = fields(own)
+                p = float(weak_label(t) == 1) if w is None else score(w, t, own, held)
+                ps.append(p), out.append(is_residue(own, held, p))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ps, pa.float64()), pa.array(out, pa.bool_())], names=[key, "score", "residue"])
 
     src = df.select(F.col(key), F.col(text).cast("string").alias("text_"))
