@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.lookalikes import is_unseen, unit
 
-VOCABULARY_LIMIT = 50_000
+VOCABULARY_LIMIT = 20_000
 LONGEST_WORD = 48
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}\p{Cf}]+")
 _SCRIPTS = [regex.compile(p) for p in (r"\p{Latin}", r"\p{Greek}", r"\p{Cyrillic}", r"\p{Armenian}")]
