@@ -214,7 +214,7 @@ def chunk_signals(p: Parsed, chunks: int = 8) -> DataFrame:
 
 def devices(p: Parsed) -> DataFrame:
     """How many rhetorical devices occur, and the share of the commonest."""
-    counts = [tx.count(F.col("text"), q).alias(k) for k, q in pt.DEVICES.items()]
+    counts = [tx.count(F.col("text"), q).cast("long").alias(k) for k, q in pt.DEVICES.items()]
     d = p.docs.select("doc_id", *counts)
     total = sum((F.col(k) for k in list(pt.DEVICES)[1:]), F.col(next(iter(pt.DEVICES))))
     variety = sum(((F.col(k) > 0).cast("int") for k in list(pt.DEVICES)[1:]), (F.col(next(iter(pt.DEVICES))) > 0).cast("int"))
