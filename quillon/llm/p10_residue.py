@@ -3,10 +3,11 @@
 A regularised linear classifier over hashed n-grams with length, layout and title features. Its
 training labels are weak: response-status lines, phrases of error and script pages, filler and
 unfilled fields vote for residue where they are a text's own words and not quoted or shown as code;
-texts without any such sign vote against; the rest abstain. It is fitted on a bounded sample of
+texts without any such sign, or with few for their length, vote against; the rest abstain. Signs count by
+density over the whole text, so no length is decided by itself. It is fitted on a bounded sample of
 labelled rows (``sample`` per label, drawn by hash) from four fifths of the hosts and validated on
-the hosts left out. Every row is scored on its whole text. A check follows for texts in which all is
-quoted, shown as code or talked about.
+the hosts left out. Every row is scored on its whole text but for what it quotes or shows as
+code, and the score decides.
 
 Defined results: null, empty and blank texts are no cases (score null); repeated rows and null ids
 are scored like others; with too few labels of either kind the weak labels decide alone; an empty
@@ -30,7 +31,8 @@ from quillon.session import checkpointed
 
 DIMS = 1 << 16
 SAMPLE = 3000
-SHORT = 600  # own words of a page that has nothing else; longer texts are residue by their fields only
+SIGN_EACH = 160  # own characters a sign speaks for: texts with a sign in so many are residue
+PASSING = 600  # with fewer than one in so many, signs are said in passing
 
 # ---------------------------------------------------------------- what is quoted or shown
 
@@ -68,14 +70,18 @@ _FIELD = regex.compile(
 _MERGE = regex.compile(rf"(?i)«({_NAME})»")
 _MAY_HOLD_FIELD = regex.compile(r"[{<%@#\[$&*«]|__|\((?i:insert|enter|type|add|replace)")
 _RENDERED = regex.compile(r"(?i)\b(?:undefined|NaN|null|None|Invalid Date|00/00/0000|\[object Object\])(?![\p{L}\p{N}])|\(unknown\)")
+#: places in a stack trace: signs, not words
+_FRAMES = r"\bline \d+, in \S[^\n]*|(?m:^[ \t]*at [\w.$<>/]+\([^()\n]*\)[ \t]*$)"
+_FRAME = regex.compile(f"(?i){_FRAMES}")
 # Phrases of error pages, of script and access demands, and of filler
 _STATUS = regex.compile(
     r"(?i)\b(?:error|http(?: status)?|status|code)\b\W{0,4}[45]\d\d\b|\b[45]\d\d\b\W{1,4}(?:error|not found|bad|forbidden|internal|unavailable|gateway|too many|service)|\b(?:page|file|essay|text|article|document|address) (?:was |were |could |can)?(?:not|n't)(?: be)? (?:found|exist|shown|loaded|opened|displayed)"
     r"|something went wrong|could not load|did not answer|too many requests|no permission|not have permission|access denied|forbidden|has been (?:removed|deleted|moved)|no longer (?:exists|available)|down for maintenance|not available|unavailable|temporarily unavailable|closed the connection|try again (?:later|in a)|bad gateway|internal server error"
     r"|traceback \(most recent|(?:fatal|parse|syntax|key|type|value|name)\s?error\b|\w+exception\b|stack trace|on line \d+\s*$|cannot open include|page body is empty|segmentation fault|\boops\b"
+    rf"|{_FRAMES}"
 )
 _DEMAND = regex.compile(
-    r"(?i)javascript|\bscripts?\b[^.\n]{0,40}\b(?:off|blocked|disabled|switched|needed|required)\b|needs? scripts|we use cookies|accept all|\bcookies\b[^.\n]{0,30}\b(?:enable|on|accept|allow)|not a robot|you are human|verify (?:that )?you|checking your browser|complete the check|captcha|session has (?:ended|expired)|(?:sign|log) in (?:again )?to|from your region|ad ?blocker|subscribe to (?:read|continue)|unusual traffic|^\s*loading(?:\.\.\.|…)?\s*$"
+    r"(?i)javascript|\bscripts?\b[^.\n]{0,40}\b(?:off|blocked|disabled|switched|needed|required)\b|needs? scripts|we use cookies|(?:accept|reject) all|\bcookies\b[^.\n]{0,30}\b(?:enable|on|accept|allow)|not a robot|you are human|verify (?:that )?you|checking your browser|complete the check|captcha|session has (?:ended|expired)|(?:sign|log) in (?:again )?to|from your region|ad ?blocker|subscribe to (?:read|continue)|unusual traffic|^\s*loading(?:\.\.\.|…)?\s*$"
 )
 _FILLER = regex.compile(
     r"(?i)lorem ipsum|dolor sit amet|text goes here|(?:goes|comes) here|click to (?:add|edit)|fill (?:me |this )?in later|\btbd\b|\btodo\b|placeholder|add your|enter (?:a|your)|replace this|type the|(?:write|put) (?:two|three|your|a few|some)\b|caption for|dummy (?:copy|text)|\basdf\b|(?:\bblah\b\W*){3}|\bqwerty\b|dd/mm/yyyy|mm/dd/yyyy|_{6,}|(?:\bxxx+\b)|sample text|coming soon|under construction|untitled (?:document|page)|the quick brown fox"
@@ -114,12 +120,12 @@ def weak_label(text: str) -> int:
     own = own_words(flat).strip()
     if fields(own) or is_filler(regex.findall(r"\p{L}+", own.lower())):
         return 1
-    if len(own) > SHORT:
-        return 0
     signs = sum(len(p.findall(own)) for p in _SIGNS) + (2 if len(_RENDERED.findall(own)) > 1 else 0)
-    if signs:
-        return 1 if signs * 160 >= len(own) and not _TOLD.search(own) else -1
-    return -1 if any(p.search(flat) for p in _SIGNS) else 0
+    if signs * SIGN_EACH >= len(own) and signs and not _TOLD.search(own):
+        return 1
+    if not signs and own != flat.strip():
+        signs = sum(len(p.findall(flat)) for p in _SIGNS)  # quoted or shown
+    return -1 if signs and signs * PASSING >= len(own) else 0
 
 
 # ---------------------------------------------------------------- features
@@ -154,21 +160,21 @@ def features(text: str, own: str | None = None, held: int | None = None) -> tupl
     ``own`` and ``held`` are the text's own words and its number of fields, if they are known already."""
     own = own_words(flatten(text)) if own is None else own
     held = fields(own) if held is None else held
-    lower = (_FIELD.sub(" \ufffcfield ", own) if held else own).lower()
+    signs = [len(p.findall(own)) for p in _SIGNS]
+    said = _FRAME.sub(" ", own) if signs[0] else own
+    lower = (_FIELD.sub(" \ufffcfield ", said) if held else said).lower()
     words = [("0" if w[0].isnumeric() else w) for w in _WORD.findall(lower)]
     idx = _grams(words)
     val = np.full(len(idx), 1.0 / math.sqrt(max(1, len(idx))))
     stripped = own.strip()
     n = max(1, len(stripped))
-    short = n <= SHORT
+    share = min(1.0, PASSING / n)  # what is counted up to a bound in a page counts by density in a longer text
     lines = [x for x in stripped.split("\n") if x.strip()] or [""]
     title = lines[0].strip()
-    signs = [len(p.findall(own)) for p in _SIGNS] if short else [0, 0, 0]
     layout = {
         0: 1.0,
         1: min(1.0, math.log(n) / 8),
         2: 1.0 if n < 160 else 0.0,
-        3: 0.0 if short else 1.0,
         4: min(1.0, len(lines) / 8),
         5: sum(not _CLOSED.search(x) for x in lines) / len(lines),
         6: 1.0 if len(title) < 60 and not _CLOSED.search(title) and len(lines) > 1 else 0.0,
@@ -177,11 +183,11 @@ def features(text: str, own: str | None = None, held: int | None = None) -> tupl
         9: min(1.0, signs[0] * 100 / n),
         10: min(1.0, signs[1] * 100 / n),
         11: min(1.0, signs[2] * 60 / n),
-        12: min(1.0, len(_RENDERED.findall(own)) / 2) if short else 0.0,
-        13: min(1.0, len(_SENTENCE_LIKE.findall(stripped)) / 4) if short else 1.0,
+        12: min(1.0, len(_RENDERED.findall(own)) * share / 2),
+        13: min(1.0, len(_SENTENCE_LIKE.findall(stripped)) * share / 4),
         14: 2.0 if is_filler([w for w in words if w[0].isalpha()]) else 0.0,
         15: 1.0 if len(stripped) * 2 < len(text.strip()) else 0.0,
-        16: 1.0 if short and _CHROME.search(own) else 0.0,
+        16: min(1.0, len(_CHROME.findall(own)) * share),
     }
     on = [(k, v) for k, v in layout.items() if v]
     return np.concatenate([np.array([k for k, _ in on], dtype=np.int32), idx]), np.concatenate([np.array([v for _, v in on]), val])
@@ -277,14 +283,6 @@ def train(df: DataFrame, key: str, text: str, host: str, sample: int = SAMPLE) -
     }
 
 
-def is_residue(own: str, held: int, p: float) -> bool:
-    """The decision for a text scored ``p``: a check of what is the text's own follows the classifier."""
-    if p < 0.5:
-        return False
-    # a long text without own fields has content of its own, unless it says the same few words over and over
-    return bool(held) or len(own.strip()) <= SHORT or is_filler(regex.findall(r"\p{L}+", own.lower()))
-
-
 def scored(df: DataFrame, key: str, text: str, host: str, sample: int = SAMPLE) -> DataFrame:
     """key, score and residue (boolean) of every row; null for texts without characters."""
     w, _ = train(df, key, text, host, sample)
@@ -301,7 +299,7 @@ def scored(df: DataFrame, key: str, text: str, host: str, sample: int = SAMPLE)
                 own = own_words(flatten(t))
                 held = fields(own)
                 p = float(weak_label(t) == 1) if w is None else score(w, t, own, held)
-                ps.append(p), out.append(is_residue(own, held, p))
+                ps.append(p), out.append(p >= 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ps, pa.float64()), pa.array(out, pa.bool_())], names=[key, "score", "residue"])
 
     src = df.select(F.col(key), F.col(text).cast("string").alias("text_"))

@@ -249,3 +249,34 @@ def test_residue_table(spark):
     _, figures = p10_residue.train(df, "doc_id", "text", "source")
     assert figures["accuracy"] > 0.95
     assert p10_residue.scored(df.limit(0), "doc_id", "text", "source").count() == 0
+
+
+_STEPS = "load read open find join send close fetch parse check apply write merge build start route serve".split()
+LONG_RESIDUE = [
+    "Traceback (most recent call last):\n" + "".join(f'  File "/srv/app/{s}.py", line {20 + i}, in {s}_page\n    return self.{s}(request, depth={i})\n' for i, s in enumerate(_STEPS)) + "KeyError: 'title'",
+    "java.lang.NullPointerException: null\n" + "".join(f"\tat com.site.pages.{s.title()}Step.{s}({s.title()}Step.java:{40 + i})\n" for i, s in enumerate(_STEPS)) + "Caused by: java.io.IOException: stream closed",
+    "502 Bad Gateway\n\nThe proxy server received an invalid response: the host behind it closed the connection. The page could not be loaded and is temporarily unavailable.\n\n"
+    "Error code: 502. Service unavailable. Please try again later, or ask the owner of the site whether it is down for maintenance.\n\nWhat happened? Something went wrong between the proxy and the host, which did not answer.\n"
+    "What can I do? If you have no permission to see the page, access denied is shown in its place; the file was not found if it has been removed or has been moved.\n\n"
+    "HTTP status 504 - internal server error - too many requests. Oops, that page no longer exists. This address is not available from the gateway. Forbidden for now.",
+    "We use cookies\n\nThis site needs scripts and cookies. Please enable JavaScript and allow cookies, then sign in again to read on. Accept all cookies or choose which cookies to accept below.\n\n"
+    "Strictly needed: cookies on, always allow. Figures: cookies that count visits, accept or refuse. Offers: cookies of our partners, accept or refuse.\n\n"
+    "Before you go on, verify that you are human: complete the check below, as there was unusual traffic from your network. If the captcha does not show, scripts are blocked in your browser; turn off any ad blocker.\n\n"
+    "Your session has expired. Log in to your account or subscribe to read without limits. This offer cannot be shown from your region. Checking your browser. Accept all. Enable JavaScript.",
+    "Untitled document\n\nYour headline goes here. Click to add a subtitle, or replace this text with your own. Put two or three lines about yourself here, then add your picture and a caption for it.\n\n"
+    "Section one: your text goes here. Enter a short introduction; write three sentences on what the reader will learn. TBD\n\nSection two: sample text. Type the body of the article here and add your links below. This is placeholder copy: click to edit. TODO\n\n"
+    "Section three: dummy text, fill in later. Enter your name, put a few words about the author and add your address. Coming soon.\n\nFooter: placeholder. Replace this line; the date comes here as dd/mm/yyyy. Write your motto here, or type the name of the town. TBD",
+]
+
+
+def test_residue_of_any_length(spark):
+    assert all(len(p10_residue.own_words(t).strip()) > 600 for t in LONG_RESIDUE) and all(p10_residue.weak_label(t) == 1 for t in LONG_RESIDUE)
+    rng = random.Random(8)
+    nouns = "mill road pan lake barn gate lamp hill shed door".split()
+    said = lambda n: " ".join(f"We {rng.choice(['saw', 'held', 'moved'])} the {rng.choice(nouns)} by the {rng.choice(nouns)}." for _ in range(n))
+    told = [f"{said(20)} {p} {said(20)}" for p in ("The server was forbidden and showed an error 404.", "In class Orr taught JavaScript.", "Once the page could not be found.", "\n```\n" + LONG_RESIDUE[0] + "\n```\n")]
+    assert all(p10_residue.weak_label(t) in (0, -1) for t in told)
+    rows = [(i, said(rng.randint(1, 40)), f"host{i % 20}") for i in range(120)] + [(200 + i, RESIDUE[i % 6].replace("404", str(400 + i)), f"host{i % 20}") for i in range(60)]
+    rows += [(300 + i, t, "far") for i, t in enumerate(LONG_RESIDUE)] + [(400 + i, t, "far") for i, t in enumerate(told)]
+    got = p10_residue.scored(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").filter("residue").collect()
+    assert {r["doc_id"] for r in got} == {200 + i for i in range(60)} | {300 + i for i in range(len(LONG_RESIDUE))}
