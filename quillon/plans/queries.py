@@ -28,8 +28,9 @@ def seeded(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.concat(text, F.lit("\n\n"), trigger))
 
 
-def _seeded(spark: SparkSession, d: str) -> Parsed:
-    return parse(seeded(_docs(spark, d)), mask=False)
+def _seeded(spark: SparkSession, d: str, mask: bool = True) -> Parsed:
+    """Documents with their trigger, masked as the operators have it; not masked where the query's SQL reads the text as it is."""
+    return parse(seeded(_docs(spark, d)), mask=mask)
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -97,7 +98,7 @@ def chunk_signals(spark, d):
 
 
 def device_counts(spark, d):
-    return features.devices(_seeded(spark, d)).drop("repetition", "device_variety", "device_concentration")
+    return features.devices(_seeded(spark, d, mask=False)).drop("repetition", "device_variety", "device_concentration")
 
 
 def device_mix(spark, d):
@@ -114,7 +115,7 @@ def reader_notes(spark, d):
 
 
 def person_mix(spark, d):
-    return features.person_mix(_seeded(spark, d))
+    return features.person_mix(_seeded(spark, d, mask=False))
 
 
 def punch_scores(spark, d):
@@ -125,7 +126,7 @@ PATTERN_RULES = [r.id for r in pt.RULES.values() if r.patterns]
 
 
 def pattern_rule_counts(spark, d):
-    p = _seeded(spark, d)
+    p = _seeded(spark, d, mask=False)
     found = rules.pattern_hits(p, PATTERN_RULES)
     return rules.counts(found, p.docs, spark).filter(F.col("rule_id").isin(*PATTERN_RULES))
 
@@ -134,40 +135,40 @@ def pattern_rule_hits(spark, d):
     return rules.pattern_hits(_seeded(spark, d), PATTERN_RULES)
 
 
-def _rule(name):
+def _rule(name, mask=True):
     def run(spark, d):
         c = rules.Config(min_sentence_words=5, person_budget_per_1k=0.0)
-        return rules.BUILT[name](_seeded(spark, d), c)
+        return rules.BUILT[name](_seeded(spark, d, mask), c)
 
     return run
 
 
 def vocab_hits(spark, d):
-    return _rule("vocab")(spark, d).select("doc_id", "start", "end", "text")
+    return _rule("vocab", mask=False)(spark, d).select("doc_id", "start", "end", "text")
 
 
 def fragment_runs(spark, d):
-    return _rule("fragments")(spark, d).select("doc_id", "start", "end", "note")
+    return _rule("fragments", mask=False)(spark, d).select("doc_id", "start", "end", "note")
 
 
 def opener_runs(spark, d):
-    return _rule("opener")(spark, d).select("doc_id", "start", "end", "text")
+    return _rule("opener", mask=False)(spark, d).select("doc_id", "start", "end", "text")
 
 
 def question_openers(spark, d):
-    return _rule("question")(spark, d).select("doc_id", "start", "end", "text")
+    return _rule("question", mask=False)(spark, d).select("doc_id", "start", "end", "text")
 
 
 def template_hits(spark, d):
-    return _rule("template")(spark, d).select("doc_id", "start", "end", "text", "note")
+    return _rule("template", mask=False)(spark, d).select("doc_id", "start", "end", "text", "note")
 
 
 def runt_sentences(spark, d):
-    return _rule("runt")(spark, d).select("doc_id", "start", "end", "text", "note")
+    return _rule("runt", mask=False)(spark, d).select("doc_id", "start", "end", "text", "note")
 
 
 def closers_over_budget(spark, d):
-    return _rule("closer")(spark, d).select("doc_id", "start", "end", "text", "note")
+    return _rule("closer", mask=False)(spark, d).select("doc_id", "start", "end", "text", "note")
 
 
 def vague_paragraphs(spark, d):
@@ -180,7 +181,7 @@ def specifics_counts(spark, d):
 
 
 def generic_you(spark, d):
-    return _rule("person")(spark, d).select("doc_id", "start", "end", "text")
+    return _rule("person", mask=False)(spark, d).select("doc_id", "start", "end", "text")
 
 
 def parallel_runs(spark, d):

@@ -10,6 +10,7 @@ from quillon.functions import lexicons as lx
 from quillon.functions import patterns as pt
 from quillon.operators import parallelism, rules
 from quillon.operators.parse import parse
+from quillon.plans import oracle, queries
 from tests.test_text_units import plain_segments, plain_sentences
 
 FIRES = [
@@ -209,3 +210,16 @@ def test_nothing_to_find(spark):
     assert rules.hits(empty).count() == 0 and parallelism.runs(empty).count() == 0
     blank = _parse(spark, ["", None, " \n\n "])
     assert rules.hits(blank, rules.Config(min_sentence_words=5, person_budget_per_1k=0.0)).count() == 0
+
+
+def test_registered_queries_without_sql_mask_markdown(spark, tmp_path):
+    body = "We walked by the mill for 20 minutes.\n\n# Moreover, a crucial nuance of 1999\n\n```\nMoreover, x delves into 1984\n```\n\nWe came home."
+    off = "We walked home.\n\n<!-- prose: off -->\nMoreover, 1999.\n<!-- prose: on -->\n\nWe came home."
+    spark.createDataFrame([(1, "a.md", body), (2, "a.txt", body), (3, "b.txt", off)], "doc_id long, path string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    d = str(tmp_path)
+    hits = [(r["doc_id"], r["start"]) for r in queries.pattern_rule_hits(spark, d).filter("rule_id = 'transitions'").collect()]
+    shown, hidden = body.index("Moreover, a"), body.index("Moreover, x")
+    assert {(2, shown), (2, hidden)} <= set(hits) and not {(1, shown), (1, hidden), (3, off.index("Moreover"))} & set(hits)
+    n = {r["doc_id"]: r["specifics"] for r in queries.specifics_counts(spark, d).collect()}
+    assert n[1] < n[2]
+    assert not any(k in oracle.ORACLE for k in ("pattern_rule_hits", "specifics_counts", "all_rule_counts", "review_documents", "worst_paragraphs", "vague_paragraphs", "device_mix", "parallel_over_budget", "doublets_over_budget"))
