@@ -74,7 +74,7 @@ def _check(a: argparse.Namespace) -> int:
     if c.audience:
         layers["reader"] = features.reader_signals(p, c.audience)
     figures = {k: {r["doc_id"]: r.asDict() for r in v.collect()} for k, v in layers.items()}
-    verdicts = {r["doc_id"]: r for r in review.review(p, c, found).collect()}
+    verdicts = {r["doc_id"]: r for r in review.review(p, c, found, weights).collect()}
     results = []
     for i, (path, _) in enumerate(texts):
         own = {k: v[i] for k, v in figures.items()}

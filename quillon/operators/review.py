@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import patterns as pt
-from quillon.operators import features
+from quillon.operators import corpus, features
 from quillon.operators.parse import Parsed, parse
 from quillon.operators.rules import Config, hits
 
@@ -103,25 +103,60 @@ def punch(p: Parsed) -> DataFrame:
     )
 
 
-def review(p: Parsed, c: Config = Config(), found: DataFrame | None = None) -> DataFrame:
-    """doc_id, passed, total, over and instructions: groups by rule, the severest first, six spans shown in each."""
+def notes(p: Parsed, c: Config = Config(), voice: DataFrame | None = None) -> DataFrame:
+    """doc_id and what its punch, cadence, metrics, reader signals (given an audience) and voice (given one) call for, in this order.
+
+    A document without words has no notes."""
+    pun = punch(p).select("doc_id", F.array_compact(F.array(F.when(F.col("verdict") == "punchy", F.format_string("punch %.2f: staccato register", "punch")))).alias("punchy"))
+    choppy = F.format_string("choppiness %.2f: short sentences and sentences without verb", "choppiness")
+    cad = features.cadence(p).select("doc_id", F.array_compact(F.array(F.when(F.col("verdict") == "choppy", choppy))).alias("choppy"))
+    j = p.sizes.join(pun, "doc_id").join(cad, "doc_id").join(features.metric_warnings(features.metrics(p)), "doc_id")
+    parts = ["punchy", "choppy", "warnings"]
+    if c.audience:
+        j = j.join(features.reader_notes(features.reader_signals(p, c.audience)).withColumnRenamed("notes", "reader"), "doc_id")
+        parts.append("reader")
+    if voice is not None:
+        said = corpus.interpretation(corpus.deviations(features.stylometry(p), voice), c.z_threshold)
+        j = j.join(said.withColumnRenamed("notes", "voice"), "doc_id", "left")
+        parts.append("voice")
+    none = F.array().cast("array<string>")
+    return j.select("doc_id", F.when(F.col("n_words") > 0, F.concat(*[F.coalesce(k, none) for k in parts])).otherwise(none).alias("notes"))
+
+
+def review(p: Parsed, c: Config = Config(), found: DataFrame | None = None, weights: DataFrame | None = None, voice: DataFrame | None = None) -> DataFrame:
+    """doc_id, passed, total, over, instructions, worst and notes.
+
+    instructions: groups by rule, the severest first, six spans shown in each; worst: the paragraph of the greatest
+    weighted density, null without hits in paragraphs; notes: see ``notes``."""
     found = hits(p, c) if found is None else found
-    # the lines of a text are counted in one pass over its line breaks
+    # hits meet their line and paragraph in one pass over the line breaks, the paragraphs and the hits
     breaks = p.docs.select("doc_id", F.split("text", "\n", -1).alias("lines"))
     breaks = breaks.select("doc_id", F.posexplode(F.transform("lines", lambda x: F.length(x) + 1)).alias("line0", "len"))
     before = Window.partitionBy("doc_id").orderBy("line0").rowsBetween(Window.unboundedPreceding, -1)
     lines = breaks.select("doc_id", F.coalesce(F.sum("len").over(before), F.lit(0)).cast("int").alias("start"), F.lit(0).alias("kind"), (F.col("line0") + 1).alias("line"))
+    paras = p.paragraphs.select("doc_id", "start", F.lit(1).alias("kind"), "para_no", F.col("end").alias("p_end"), F.col("n_words").alias("p_words"))
+    marked = with_weight(found, weights).withColumn("kind", F.lit(2))
     w = Window.partitionBy("doc_id").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    events = lines.unionByName(found.withColumn("kind", F.lit(1)), allowMissingColumns=True).withColumn("line", F.last("line", ignorenulls=True).over(w)).filter("kind = 1")
+    events = lines.unionByName(paras, allowMissingColumns=True).unionByName(marked, allowMissingColumns=True).withColumn("line", F.last("line", ignorenulls=True).over(w))
+    para = F.when(F.col("kind") == 1, F.struct("para_no", "p_end", "p_words", F.col("line").alias("p_line")))
+    events = events.withColumn("para", F.last(para, ignorenulls=True).over(w)).filter("kind = 2")
+    events = events.withColumn("para", F.when(F.col("start") < F.col("para.p_end"), F.col("para")))
+    in_para = Window.partitionBy("doc_id", "para.para_no").orderBy("start", "rule_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    words = F.greatest(F.col("para.p_words"), F.lit(1))
+    density = F.round(F.sum("weight").over(in_para) / words * 1000, 1)
+    rules = F.array_join(F.array_distinct(F.collect_list("rule_id").over(in_para)), ", ")
+    shape = F.format_string("P%d (L%d, %dw): %d hits, weight %d [%s]", F.col("para.para_no") + 1, "para.p_line", words, F.count(F.lit(1)).over(in_para), F.bround(density, 0).cast("long"), rules)
+    events = events.withColumn("worst", F.when(F.col("para").isNotNull(), F.struct(density.alias("density"), (-F.col("para.para_no")).alias("o"), shape.alias("s"))))
+    events = events.withColumn("worst", F.max("worst").over(Window.partitionBy("doc_id")))
     by_rule = Window.partitionBy("doc_id", "rule_id").orderBy("start", "end")
     shown = events.withColumn("nth", F.row_number().over(by_rule)).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "rule_id"))).filter("nth <= 6")
     span = F.when(F.length("text") <= 70, F.col("text")).otherwise(F.concat(F.substring("text", 1, 67), F.lit("...")))
     spans = F.transform(F.array_sort(F.collect_list(F.struct("nth", F.concat(F.lit("L"), "line", F.lit(" "), span).alias("s")))), lambda x: x["s"])
-    groups = shown.groupBy("doc_id", "rule_id").agg(F.max("of").alias("n"), spans.alias("spans"), F.min("start").alias("first"))
+    groups = shown.groupBy("doc_id", "rule_id").agg(F.max("of").alias("n"), spans.alias("spans"), F.min("start").alias("first"), F.max("worst.s").alias("worst"))
     group = F.struct((-severity_weight(F.col("rule_id"))).alias("o"), "first", "rule_id", "n", "spans")
-    per = groups.groupBy("doc_id").agg(F.sum("n").alias("total"), F.transform(F.array_sort(F.collect_list(group)), lambda g: F.struct(g["rule_id"].alias("rule_id"), g["n"].alias("n"), g["spans"].alias("spans"))).alias("instructions"))
-    chop = features.cadence(p).select("doc_id", "choppiness")
-    j = p.sizes.join(per, "doc_id", "left").join(chop, "doc_id")
+    ordered = F.transform(F.array_sort(F.collect_list(group)), lambda g: F.struct(g["rule_id"].alias("rule_id"), g["n"].alias("n"), g["spans"].alias("spans")))
+    per = groups.groupBy("doc_id").agg(F.sum("n").alias("total"), ordered.alias("instructions"), F.max("worst").alias("worst"))
+    j = p.sizes.join(per, "doc_id", "left").join(notes(p, c, voice), "doc_id")
     total = F.coalesce("total", F.lit(0))
     over = F.lit(False)
     if c.max_hits is not None:
@@ -129,8 +164,9 @@ def review(p: Parsed, c: Config = Config(), found: DataFrame | None = None) -> D
     if c.max_per_1k is not None:
         over = over | (F.coalesce(total / F.nullif(F.col("n_words"), F.lit(0)) * 1000, F.lit(0.0)) > c.max_per_1k)
     if c.max_choppiness is not None:
+        j = j.join(features.cadence(p).select("doc_id", "choppiness"), "doc_id")
         over = over | (F.col("choppiness") > c.max_choppiness)
-    return j.select("doc_id", (total <= (c.max_hits or 0)).alias("passed"), total.cast("long").alias("total"), over.alias("over"), "instructions")
+    return j.select("doc_id", (total <= (c.max_hits or 0)).alias("passed"), total.cast("long").alias("total"), over.alias("over"), "instructions", "worst", "notes")
 
 
 def drift(pairs: DataFrame, c: Config = Config(), found=hits) -> DataFrame:

@@ -297,7 +297,8 @@ def worst_paragraphs(spark, d):
 
 def review_documents(spark, d):
     p = _seeded(spark, d)
-    return review.review(p, rules.Config(max_hits=3)).select("doc_id", "passed", "total", "over", F.to_json("instructions").alias("instructions"))
+    r = review.review(p, rules.Config(max_hits=3))
+    return r.select("doc_id", "passed", "total", "over", F.to_json("instructions").alias("instructions"), "worst", F.array_join("notes", "; ").alias("notes"))
 
 
 def _revisions(spark, d) -> DataFrame:

@@ -33,15 +33,18 @@ def render_json(results: list[dict]) -> str:
 
 
 def render_agent(review_row, path: str = "") -> str:
-    """A review in few words: PASS, or the groups with their fix, the severest first."""
-    if review_row["passed"] and not review_row["instructions"]:
+    """A review in few words: PASS alone if there is nothing to say, else the worst paragraph, the groups with their fix, the severest first, and the notes."""
+    if review_row["passed"] and not review_row["instructions"] and not review_row["notes"]:
         return "PASS"
     lines = ["PASS" if review_row["passed"] else f"FAIL {review_row['total']}"]
+    if review_row["worst"]:
+        lines.append(f"worst: {review_row['worst']}")
     for g in sorted(review_row["instructions"] or [], key=lambda g: _ORDER[pt.RULES[g["rule_id"]].severity]):
         lines.append(f"[{g['rule_id']}] x{g['n']}: {pt.RULES[g['rule_id']].fix}")
         lines += [f"  {s}" for s in g["spans"]]
         if g["n"] > len(g["spans"]):
             lines.append(f"  ... {g['n'] - len(g['spans'])} more")
+    lines += [f"! {n}" for n in review_row["notes"] or []]
     return "\n".join(lines)
 
 

@@ -184,6 +184,28 @@ def test_worst_paragraphs_and_scores(spark):
     assert "L3 crucial" in reports.render_agent(r[0]) and reports.render_agent(r[1]) == "PASS"
 
 
+def test_review_notes_and_worst(spark):
+    flat = "The people by the mill kept an old lamp there. " * 8
+    choppy = "Rain. Mud. Sun. Then nothing. A quiet end. We walked home, and it rained."
+    bad = "We delve into it here, by the mill.\n\nMoreover, the plan is crucial and vital, thus, it goes.\n\nThe pan fell over the mill, which had stood for longer than anyone could say. Moreover, it rained."
+    p = parse(spark.createDataFrame([(0, flat), (1, choppy), (2, bad), (3, "")], "doc_id long, text string"), path=None)
+    c = rules.Config(vague_min_words=999, disabled=("fragments", "opener", "template", "closer", "runt", "doublet", "parallel"))
+    r = _rows(review.review(p, c))
+    assert r[0]["passed"] and r[0]["notes"][-2:] == ["flat sentence length", "long run of like sentences"] and r[0]["worst"] is None
+    assert reports.render_agent(r[0]) == "PASS\n" + "\n".join(f"! {n}" for n in r[0]["notes"])
+    assert [n.split()[0] for n in r[1]["notes"][:2]] == ["punch", "choppiness"]
+    assert r[3]["notes"] == [] and reports.render_agent(r[3]) == "PASS"
+    w = {x["doc_id"]: x for x in review.worst_paragraphs(review.paragraph_scores(p, rules.hits(p, c)), 1).collect()}
+    assert set(w) == {i for i in r if r[i]["worst"]} and w[2]["para_index"] == 2
+    for i, x in w.items():
+        assert r[i]["worst"] == f"P{x['para_index']} (L{x['line_no']}, {x['words']}w): {x['hits']} hits, weight {x['weighted']:.0f} [{', '.join(x['rules'])}]"
+    assert f"worst: {r[2]['worst']}" in reports.render_agent(r[2])
+    heard = _rows(review.notes(p, rules.Config(audience="expert")))
+    assert "too few valence words to judge sentiment" in heard[0]["notes"]
+    voice = spark.createDataFrame([("mean_sentence_len", 40.0, 1.0, 3, 900)], "feature string, center double, scale double, n_docs long, n_words long")
+    assert any(n.startswith("mean_sentence_len") for n in _rows(review.notes(p, voice=voice))[0]["notes"])
+
+
 def test_drift_verdicts(spark):
     plain = "The people by the mill kept an old lamp in the hall and they lit it when the rain fell on the road to town. "
     rows = [
