@@ -243,7 +243,7 @@ def boundaries(text: str, lang: str) -> list[int]:
         text = text.translate(SAME_LENGTH)  # look-alike letters inside abbreviations; offsets stay
     cuts = []
     for m in cand.finditer(text):
-        at = m.start() + 1 if lang == "th" else m.end()
+        at = m.end()
         if at >= len(text):
             continue
         for brk, p in rules:

@@ -98,6 +98,12 @@ def test_sentences_of_a_table(spark):
     assert got.filter("span_id = 1").distinct().count() == 2 and got.filter("span_id in (2, 3)").count() == 0 and got.count() > 4
 
 
+def test_thai_sentences_end_at_any_run_of_blanks():
+    for gap in (" ", "  ", "\n", "\r\n", " \n", "\n ", "\t \u00a0"):
+        assert [("แมวนอน" + gap + "ฝนตกหนัก")[a:b] for a, b in p3_sentences.split("แมวนอน" + gap + "ฝนตกหนัก", "th")] == ["แมวนอน", "ฝนตกหนัก"], gap
+    assert len(p3_sentences.split("มี 5  6 ตัว", "th")) == len(p3_sentences.split("มี 5 6 ตัว", "th"))
+
+
 # ------------------------------------------------------------------ 5
 
 MD = "# The *old* [mill](http://x.example/1) #\n\nIt cost $3 in May and $4 in June, so $a + b$ stays.\n\n```py\n# not a heading\nx = 1\n```\n\n1. First & **last**\n2. snake_case_name\n\nTitle\n-----\n\n$$\nE = 1\n$$\n\n> quoted\n"
