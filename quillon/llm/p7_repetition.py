@@ -4,7 +4,8 @@ Per text the shares of words standing in phrases, sentences and paragraphs that
 measured, with the compressibility and the variety of words. These and the hits noted for the text
 vote for repetition, against it, or abstain. Expectation-maximisation over the counts of all vote
 patterns estimates how far each voter is to be trusted, and the posterior of a text's pattern takes
-the place of a filter that all rules must pass. An exact check of the measured share follows.
+the place of a filter that all rules must pass. An exact check of the share follows, of the words in
+repeated phrases, sentences and paragraphs together, each word once.
 
 Words are compared without case, width, look-alikes, punctuation and counting numbers; Chinese and
 Japanese by characters, Thai too, as it writes no spaces.
@@ -43,41 +44,60 @@ def tokens(text: str) -> list[str]:
     return [w for w in _TOKEN.findall("".join(map(unit, text)).casefold()) if not w[0].isnumeric()]
 
 
-def phrase_share(words: list[str], n: int) -> float:
-    """Share of the words that stand in a run of at least ``n`` words which occurred earlier."""
+def _phrases(words: list[str], n: int, marks: bytearray) -> None:
+    """Marks the words that stand in a run of at least ``n`` words which occurred earlier."""
     if len(words) < 2:
-        return 0.0
+        return
     n = min(n, max(1, len(words) // 2))
     seen: set[tuple[str, ...]] = set()
-    covered, end = 0, 0
     for i in range(len(words) - n + 1):
         gram = tuple(words[i : i + n])
         if gram in seen:
-            covered += i + n - max(end, i)
-            end = i + n
+            marks[i : i + n] = b"\x01" * n
         else:
             seen.add(gram)
-    return covered / len(words)
 
 
-def unit_share(parts: list[str]) -> float:
-    """Share of the words in parts (sentences, paragraphs) that occurred whole before."""
+def _units(parts: list[list[str]], marks: bytearray) -> None:
+    """Marks the words of the parts (sentences, paragraphs) that occurred whole before; the parts make up the text."""
     seen: set[tuple[str, ...]] = set()
-    again = total = 0
+    at = 0
     for part in parts:
-        words = tuple(tokens(part))
-        if not words:
-            continue
-        total += len(words)
+        words = tuple(part)
         if words in seen:
-            again += len(words)
+            marks[at : at + len(words)] = b"\x01" * len(words)
         seen.add(words)
-    return again / total if total else 0.0
+        at += len(words)
+
+
+def phrase_share(words: list[str], n: int) -> float:
+    """Share of the words that stand in a run of at least ``n`` words which occurred earlier."""
+    marks = bytearray(len(words))
+    _phrases(words, n, marks)
+    return sum(marks) / max(1, len(words))
+
+
+def unit_share(parts: list[list[str]]) -> float:
+    """Share of the words in parts (sentences, paragraphs) that occurred whole before."""
+    marks = bytearray(sum(map(len, parts)))
+    _units(parts, marks)
+    return sum(marks) / max(1, len(marks))
+
+
+def repeated_share(sentences: list[list[str]], paragraphs: list[list[str]], n: int) -> float:
+    """Share of the words in a phrase of ``n`` words or more, a sentence or a paragraph that occurred earlier."""
+    words = [w for s in sentences for w in s]
+    marks = bytearray(len(words))
+    _phrases(words, n, marks)
+    _units(sentences, marks)
+    _units(paragraphs, marks)
+    return sum(marks) / max(1, len(words))
 
 
 def measures(text: str | None) -> tuple[float, float, float, float, float]:
-    """Shares by phrase, sentence and paragraph; size of the compressed text over the text; distinct words over words."""
-    words = tokens(text or "")
+    """Shares by all together, sentence and paragraph; size of the compressed text over the text; distinct words over words."""
+    sentences = [tokens(x) for x in _SENTENCE.split(text or "")]
+    words = [w for x in sentences for w in x]
     if not words:
         return 0.0, 0.0, 0.0, 1.0, 1.0
     signs = sum(1 for w in words if len(w) == 1 and _SIGN.match(w))
@@ -86,7 +106,8 @@ def measures(text: str | None) -> tuple[float, float, float, float, float]:
         n = THAI_SIGNS_IN_PHRASE  # an alphabet, so a phrase takes more signs
     raw = " ".join(words).encode()
     variety = len(set(words)) / len(words)
-    return phrase_share(words, n), unit_share(_SENTENCE.split(text)), unit_share(_PARAGRAPH.split(text)), len(zlib.compress(raw, 6)) / len(raw), variety
+    paragraphs = [tokens(x) for x in _PARAGRAPH.split(text)]
+    return repeated_share(sentences, paragraphs, n), unit_share(sentences), unit_share(paragraphs), len(zlib.compress(raw, 6)) / len(raw), variety
 
 
 def measured(df: DataFrame, key: str, text: str) -> DataFrame:

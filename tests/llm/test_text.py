@@ -205,6 +205,20 @@ def test_measures():
     assert p7_repetition.measures("船长在桥下修好了字典，后来又忘了。" * 4)[0] > 0.7
 
 
+def test_repeated_short_sentences_count(spark):
+    nouns = "mill road pan lake barn gate lamp hill shed door".split()
+    text = " ".join(f"Orr{'abcdefghij'[i]} held {w} {w[::-1]}. Come and buy it today." for i, w in enumerate(nouns))
+    words = [w for s in text.replace(".", "").split(". ") for w in s.split()]
+    share = p7_repetition.measures(text)[0]
+    assert len(words) == 90 and share == pytest.approx(9 * 5 / 90)
+    # a word in a repeated phrase and a repeated sentence counts once
+    said = "The early lamp was warm and the old road was long."
+    assert p7_repetition.measures(f"{said} {said}")[0] == pytest.approx(0.5)
+    hits = spark.createDataFrame([], "result_id long, rule_id string, note string")
+    got = p7_repetition.judged(spark.createDataFrame([(1, text)], "result_id long, text string"), hits, "result_id", "text").first()
+    assert got["share"] >= p7_repetition.THRESHOLD
+
+
 def test_trust_follows_the_better_voters():
     rng = random.Random(3)
     counts, truth = {}, {}
