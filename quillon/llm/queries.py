@@ -73,9 +73,10 @@ def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delimiters that occur alike over the texts of a folder and suffix."""
+    """Delimiters that occur alike over the texts of a folder and suffix; texts without path are a host of their own, null."""
     host = F.concat_ws(" ", F.split_part("path", F.lit("/"), F.lit(1)), F.regexp_extract("path", r"\.(\w+)$", 1))
-    return p5_markup.template_classes(table(spark, sf_dir, "results").filter("path IS NOT NULL"), "result_id", "text", host)
+    host = F.when(F.col("path").isNotNull(), host)
+    return p5_markup.template_classes(table(spark, sf_dir, "results"), "result_id", "text", host)
 
 
 def _levels(spark: SparkSession, sf_dir: str, results: DataFrame) -> DataFrame:

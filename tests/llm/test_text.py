@@ -144,6 +144,15 @@ def test_template_classes(spark):
     assert got == {"</ul <ul", "</li <li"}
 
 
+def test_template_of_texts_without_path(spark, tmp_path):
+    from quillon.llm import queries
+
+    rows = [(i, p, "<b>one</b> and <i>two</i>") for i, p in enumerate(["a/x.html", "a/y.html", None, None])]
+    spark.createDataFrame(rows, "result_id long, path string, text string").write.parquet(str(tmp_path / "results.parquet"))
+    got = {r["host"]: r["pages"] for r in queries.p5_template(spark, str(tmp_path)).collect()}
+    assert got == {"a html": 2, None: 2}
+
+
 # ------------------------------------------------------------------ 6
 
 EASY = ["The cat sat on the mat. We saw a dog. It was red and wet.", "He ran to the pond. A fish swam by. It was big.", "I have a hat. The hat is blue. We like it."]
