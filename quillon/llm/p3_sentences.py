@@ -198,6 +198,7 @@ _COMMON = {
     "fr": set("le la les un une et des du de dans sur est était pour avec par au aux sous derrière".split()),
     "es": set("el la los las un una y de del en con por para es era junto después al bajo sin".split()),
 }
+COMMON_WORDS = frozenset().union(*_COMMON.values())
 # Letters and marks that one of them uses and the others hardly do
 _MARKS = {"de": regex.compile(r"[äöüßÄÖÜ„]"), "fr": regex.compile(r"[àâçèêëîôœùûÀÉÊ]|\b[LDldcs]['’](?=\p{L})"), "es": regex.compile(r"[áíóúñ¿¡]")}
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}\p{Cf}]*")

@@ -309,3 +309,29 @@ def test_residue_of_any_length(spark):
     rows += [(300 + i, t, "far") for i, t in enumerate(LONG_RESIDUE)] + [(400 + i, t, "far") for i, t in enumerate(told)]
     got = p10_residue.scored(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").filter("residue").collect()
     assert {r["doc_id"] for r in got} == {200 + i for i in range(60)} | {300 + i for i in range(len(LONG_RESIDUE))}
+
+
+def test_classifier_finds_what_no_label_names(spark):
+    rng = random.Random(9)
+    nouns = "mill road pan lake barn gate lamp hill shed door".split()
+    ends = ["Go back to the start page.", "If this keeps happening, tell the webmaster.", "Reference: 5402317"]
+    rows = [(i, " ".join(f"We {rng.choice(['saw', 'held', 'moved'])} the {rng.choice(nouns)} by the {rng.choice(nouns)}." for _ in range(rng.randint(1, 9))), f"host{i % 20}") for i in range(200)]
+    rows += [(300 + i, f"Error {400 + i % 12}\n\nThe page could not be found.\n{ends[i % 3]}", f"host{i % 20}") for i in range(60)]
+    unseen = [f"{500 + i}\n\nStranica nije pronadena.\n{e}" for i, e in enumerate(ends)]
+    rows += [(400 + i, t, "far") for i, t in enumerate(unseen)]
+    assert all(p10_residue.weak_label(t) != 1 for t in unseen)  # the labels alone would lose them
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"] for r in p10_residue.scored(df, "doc_id", "text", "source").filter("residue").collect()}
+    assert got == {300 + i for i in range(60)} | {400 + i for i in range(3)}
+
+
+def test_nonce_filler_is_labelled():
+    assert p10_residue.weak_label("Tu corne tuoresne atdaumlo velum umbiquami. " * 6) == 1
+    assert p10_residue.weak_label("Il y avait un moulin sous le pont et la rivière est dans le pré. " * 4) == 0
+
+
+def test_slices_and_flattening():
+    assert list(p10_residue.slices(["aa", "bbb", "c" * 9, "d"], 5)) == [(0, 2), (2, 3), (3, 4)] and list(p10_residue.slices([])) == []
+    assert p10_residue.flattened(["ｅｒｒ​or", "a\x1eb", ""]) == ["error", "a b", ""]
+    doc, column, value, shape = p10_residue.features(["", "one two", "one two"])
+    assert set(doc.tolist()) == {1, 2} and sorted(column[doc == 1]) == sorted(column[doc == 2]) and shape.shape == (3, 9)
