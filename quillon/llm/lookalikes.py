@@ -46,3 +46,14 @@ def unit(c: str) -> str:
     if unicodedata.category(c) in ("No", "Nl", "So", "Sk", "Sm") or c in "…‥ªºª" or "<super>" in unicodedata.decomposition(c) or "<sub>" in unicodedata.decomposition(c):
         wide = unicodedata.normalize("NFC", c)  # raised, circled or spaced forms do look different
     return wide.translate(LATIN_OF)
+
+
+# Letters that are a mere stroke, which may stand for a capital i or a small L
+STROKES = "Ӏӏǀꓲⵏ𐌉"
+
+
+@lru_cache(maxsize=65536)
+def readings(c: str) -> tuple[str, ...]:
+    """All that a single character may be read as, the table's reading first."""
+    shown = unit(c)
+    return tuple(dict.fromkeys((shown, "l", "I"))) if c in STROKES else (shown,)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import p10_residue, p1_rank, p2_forms, p3_sentences, p4_topn, p5_markup, p6_level, p7_repetition, p8_encode, p9_pack
+from quillon.session import checkpointed
 from quillon.sources.tables import table
 
 
@@ -22,26 +23,38 @@ def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.withColumns({c: F.round(c, 6) for c in floats})
 
 
-def _vocabulary(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
-    return p2_forms.vocabulary((table(spark, sf_dir, "results"), "text"), (table(spark, sf_dir, "hits"), "text"))
+def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = p2_forms.vocabulary((table(spark, sf_dir, "results"), "text"), (table(spark, sf_dir, "hits"), "text"))
+    return checkpointed(p2_forms.canonical(counted))
+
+
+def _prints(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    known = _canonical(spark, sf_dir)
+    hits = table(spark, sf_dir, "hits").filter("result_id IS NOT NULL")
+    return p2_forms.fingerprints(table(spark, sf_dir, "results"), ["result_id"], "text", known), p2_forms.fingerprints(hits, ["hit_id", "result_id"], "text", known)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results, and hits of one result, that look the same but are not the same characters."""
-    counted = _vocabulary(spark, sf_dir)
-    results = p2_forms.fingerprints(table(spark, sf_dir, "results"), ["result_id"], "text", counted)
-    hits = table(spark, sf_dir, "hits").filter("result_id IS NOT NULL")
-    hits = p2_forms.fingerprints(hits, ["hit_id", "result_id"], "text", counted)
+    results, hits = _prints(spark, sf_dir)
     of_results = p2_forms.look_alike_pairs(results, "result_id").select(F.lit("results").alias("tbl"), "id_a", "id_b")
     of_hits = p2_forms.look_alike_pairs(hits, "hit_id", ["result_id"]).select(F.lit("hits").alias("tbl"), "id_a", "id_b")
     return of_results.unionByName(of_hits)
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row that looks like a row of other characters: its class and the number of such rows."""
+    results, hits = _prints(spark, sf_dir)
+    of_results = p2_forms.look_alike_classes(results, "result_id").select(F.lit("results").alias("tbl"), F.col("id").alias("row_id"), F.col("form_fp").alias("class_id"), "links")
+    of_hits = p2_forms.look_alike_classes(hits, "hit_id", ["result_id"]).select(F.lit("hits").alias("tbl"), F.col("id").alias("row_id"), F.md5(F.concat_ws(" ", "result_id", "form_fp")).alias("class_id"), "links")
+    return of_results.unionByName(of_hits)
+
+
 def p2_forms_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The form of every text of results and hits."""
-    counted = _vocabulary(spark, sf_dir)
-    results = p2_forms.forms(table(spark, sf_dir, "results"), ["result_id"], "text", counted)
-    hits = p2_forms.forms(table(spark, sf_dir, "hits").dropDuplicates(["hit_id"]), ["hit_id"], "text", counted)
+    known = _canonical(spark, sf_dir)
+    results = p2_forms.forms(table(spark, sf_dir, "results"), ["result_id"], "text", known)
+    hits = p2_forms.forms(table(spark, sf_dir, "hits").dropDuplicates(["hit_id"]), ["hit_id"], "text", known)
     return results.select(F.lit("results").alias("tbl"), F.col("result_id").alias("row_id"), "form").unionByName(
         hits.select(F.lit("hits").alias("tbl"), F.col("hit_id").alias("row_id"), "form")
     )
@@ -140,6 +153,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_ranking": p1_ranking,
     "p2_found": p2_found,
+    "p2_classes": p2_classes,
     "p2_forms_of_texts": p2_forms_of_texts,
     "p3_found": p3_found,
     "p4_found": p4_found,

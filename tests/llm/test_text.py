@@ -10,7 +10,7 @@ from quillon.llm import p2_forms, p3_sentences, p5_markup, p6_level, p7_repetiti
 
 
 def test_look_alikes_share_a_form():
-    norm = p2_forms.Normaliser([("café", 5), ("place", 9), ("рlace", 1), ("окно", 4)])
+    norm = p2_forms.Normaliser.of([("café", 5), ("place", 9), ("рlace", 1), ("окно", 4), ("oкнo", 1)])
     same = ["the café place", "the cafe\u0301 place", "ｔhe café place", "the\u00a0caf\u00e9\u2009place", "th\u200be café pla\u00adce", "the café \u0440lac\u0435"]
     assert {norm.form(t) for t in same} == {"the café place"}
     for other in ("The café place", "the cafe place", "the café place.", "the café  place", "the café\nplace"):
@@ -25,7 +25,13 @@ def test_forms_are_equal_exactly_if_looks_are():
     rng = random.Random(4)
     words = ["lamp", "lаmp", "Lamp", "fi", "ﬁ", "é", "e\u0301", "e", "ｌamp", "la\u00admp", "сор", "cop", "!", "！", " ", "\u00a0", "\n"]
     texts = ["".join(rng.choice(words) for _ in range(rng.randint(0, 5))) for _ in range(600)]
-    norm = p2_forms.Normaliser([("lamp", 3), ("cop", 1), ("сор", 2)])
+    counted = {}
+    for t in texts:
+        for w in p2_forms._TOKEN.findall(t):
+            counted[w] = counted.get(w, 0) + 1
+    counted["сор"] = 1000
+    norm = p2_forms.Normaliser.of(list(counted.items()))
+    assert norm.known  # Cyrillic spellings are kept, where the table gives Latin ones
     form, look = {}, {}
     for t in texts:
         form.setdefault(norm.form(t), set()).add(t)
@@ -33,6 +39,29 @@ def test_forms_are_equal_exactly_if_looks_are():
     assert sorted(map(sorted, form.values())) == sorted(map(sorted, look.values()))
 
 
+def test_vocabulary_decides_what_a_stroke_stands_for(spark):
+    """The table gives a stroke one letter; only the vocabulary tells whether it is an i or an L."""
+    rows = [(1, "The Iron gate and the long lamp"), (2, "The \u04cfron gate and the \u04cfong \ua4f2amp"), (3, "The lron gate and the long lamp"), (4, "The Ir\u043en\u200b gate and the long lamp")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    known = p2_forms.canonical(p2_forms.vocabulary((df.filter("id <> 3"), "text")))
+    for most in (100, 0):  # broadcast, and joined
+        prints = p2_forms.fingerprints(df, ["id"], "text", known, most)
+        assert {tuple(r) for r in p2_forms.look_alike_pairs(prints, "id").collect()} == {(1, 2), (1, 4), (2, 4)}
+    # without a vocabulary the table makes the stroke an L everywhere
+    prints = p2_forms.fingerprints(df, ["id"], "text", known.limit(0))
+    assert {tuple(r) for r in p2_forms.look_alike_pairs(prints, "id").collect()} == {(1, 4)}
+
+
+def test_vocabulary_over_the_cluster_is_that_at_hand(spark):
+    rng = random.Random(5)
+    letters = "lIao\u0430\u043e\u04cf\u200be\u0301"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    df = spark.createDataFrame([(i, " ".join(words[i::20])) for i in range(20)], "id long, text string")
+    counted = [tuple(r) for r in p2_forms.vocabulary((df, "text")).collect()]
+    got = {r["word"]: r["canonical"] for r in p2_forms.canonical(p2_forms.vocabulary((df, "text"))).collect()}
+    assert got and got == p2_forms.Normaliser.of(counted).known
+
+
 def test_automaton_counts_visible_changes():
     trie = p2_forms.Trie.of([("lantern", 4), ("lectern", 2)])
     assert trie.spell("lаntern") == "lantern" and trie.spell("lantirn") is None
@@ -40,13 +69,15 @@ def test_automaton_counts_visible_changes():
 
 
 def test_pairs_of_look_alikes(spark):
-    rows = [(1, "a b", 0), (2, "a\u00a0b", 0), (3, "a b", 0), (4, None, 0), (5, "A b", 0), (6, "", 0), (7, "\u200b", 0), (2, "a\u00a0b", 0)]
+    rows = [(1, "a b", 0), (2, "a\u00a0b", 0), (3, "a b", 0), (4, None, 0), (5, "A b", 0), (6, "", 0), (7, "\u200b", 0), (2, "a\u00a0b", 0), (None, "a b", 0)]
     df = spark.createDataFrame(rows, "result_id long, text string, form int")
-    prints = p2_forms.fingerprints(df, ["result_id"], "text", [])
+    known = p2_forms.canonical(p2_forms.vocabulary((df, "text")))
+    prints = p2_forms.fingerprints(df, ["result_id"], "text", known)
     assert {tuple(r) for r in p2_forms.look_alike_pairs(prints, "result_id").collect()} == {(1, 2), (2, 3), (6, 7)}
-    counted = dict(p2_forms.vocabulary((df, "text")))
-    assert counted["b"] == 5
-    assert p2_forms.forms(df.limit(0), ["result_id"], "text", []).count() == 0
+    classes = p2_forms.look_alike_classes(prints, "result_id").collect()
+    assert {(r["id"], r["links"]) for r in classes} == {(1, 1), (3, 1), (2, 2), (6, 1), (7, 1)} and len({r["form_fp"] for r in classes}) == 2
+    assert {r["word"]: r["n"] for r in p2_forms.vocabulary((df, "text")).collect()}["b"] == 6
+    assert p2_forms.forms(df.limit(0), ["result_id"], "text", known).count() == 0
 
 
 # ------------------------------------------------------------------ 3
