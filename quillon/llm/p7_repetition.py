@@ -1,14 +1,16 @@
 """Problem 7: the share of repeated content inside each text, judged by weak supervision.
 
-Per text the shares of words standing in phrases, sentences and paragraphs that occurred earlier are
-measured, with the compressibility and the variety of words. These and the hits noted for the text
-vote for repetition, against it, or abstain. Expectation-maximisation over the counts of all vote
-patterns estimates how far each voter is to be trusted, and the posterior of a text's pattern takes
-the place of a filter that all rules must pass. An exact check of the share follows, of the words in
-repeated phrases, sentences and paragraphs together, each word once.
+Rules that each see one sign of repetition vote on every text or abstain: how many of its short word
+runs, sentences and paragraphs are not new, how far it compresses, how few different words it has, and
+what the hits noted for it say. Expectation-maximisation over the counts of all vote patterns
+estimates how far each rule is to be trusted, and the posterior of a text's pattern takes the place of
+a filter that all rules must pass: only texts that more likely than not repeat themselves are found.
+An exact check of them follows, of the share of words in repeated phrases, sentences and paragraphs
+together, each word once. The share itself is no voter.
 
 Words are compared without case, width, look-alikes, punctuation and counting numbers; Chinese and
-Japanese by characters, Thai too, as it writes no spaces.
+Japanese by characters, Thai too, as it writes no spaces. A phrase is six words, twelve Chinese or
+Japanese and twenty Thai characters; in a mixed text each has its part of the width.
 
 Defined results: null, empty and blank texts have share 0, as have texts of one word; repeated rows
 count each; texts without hits have an abstaining voter; null ids are kept. Empty tables give empty
@@ -18,6 +20,7 @@ results. The patterns are at most 3**voters, whatever the number of texts.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,22 +36,49 @@ WORDS_IN_PHRASE = 6
 SIGNS_IN_PHRASE = 12
 THAI_SIGNS_IN_PHRASE = 20
 THRESHOLD = 0.4
-_TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|\p{N}+(?:[.,]\p{N}+)*")
-_SIGN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
-_SENTENCE = regex.compile(r"(?<=[.!?。！？।؟…])[\"'”’»」』)\]]*\s*|\n+")
-_PARAGRAPH = regex.compile(r"\n\s*\n")
-
-
-def tokens(text: str) -> list[str]:
-    """Words as compared: folded, without numbers."""
-    return [w for w in _TOKEN.findall("".join(map(unit, text)).casefold()) if not w[0].isnumeric()]
+_SIGN = r"\p{Han}\p{Hiragana}\p{Katakana}"
+_TOKEN = regex.compile(rf"[{_SIGN}\p{{Thai}}]|[\p{{L}}\p{{M}}]+(?:['’][\p{{L}}\p{{M}}]+)*|\p{{N}}+(?:[.,]\p{{N}}+)*|[.!?。！？।؟…]|\n\s*\n|\n")
+_ASCII_TOKEN = re.compile(r"[a-z]+(?:'[a-z]+)*|[0-9]+(?:[.,][0-9]+)*|[.!?]|\n\s*\n|\n")
+_IS_SIGN, _IS_THAI = regex.compile(f"[{_SIGN}]"), regex.compile(r"\p{Thai}")
+
+
+def parts(text: str) -> tuple[list[list[str]], list[list[str]]]:
+    """The words of each sentence and of each paragraph, as compared: folded, without numbers."""
+    if text.isascii():
+        found = _ASCII_TOKEN.findall(text.lower())
+    else:
+        found = _TOKEN.findall("".join(map(unit, text)).casefold())
+    sentences: list[list[str]] = [[]]
+    paragraphs: list[list[str]] = [[]]
+    for w in found:
+        c = w[0]
+        if c == "\n" or c in ".!?。！？।؟…":
+            if sentences[-1]:
+                sentences.append([])
+            if c == "\n" and len(w) > 1 and paragraphs[-1]:
+                paragraphs.append([])
+        elif not c.isnumeric():
+            sentences[-1].append(w)
+            paragraphs[-1].append(w)
+    return [x for x in sentences if x], [x for x in paragraphs if x]
+
+
+def width(words: list[str]) -> int:
+    """Words in a phrase, by the shares of the scripts in the text."""
+    signs = thai = 0
+    for w in words:
+        if len(w) == 1 and w > "\u0e00":
+            signs += bool(_IS_SIGN.match(w))
+            thai += bool(_IS_THAI.match(w))
+    n = max(1, len(words))
+    return round(WORDS_IN_PHRASE + (SIGNS_IN_PHRASE - WORDS_IN_PHRASE) * signs / n + (THAI_SIGNS_IN_PHRASE - WORDS_IN_PHRASE) * thai / n)
 
 
 def _phrases(words: list[str], n: int, marks: bytearray) -> None:
     """Marks the words that stand in a run of at least ``n`` words which occurred earlier."""
     if len(words) < 2:
         return
-    n = min(n, max(1, len(words) // 2))
+    n = min(n, max(1, len(words) // 2))  # what a text says twice cannot be longer than half of it
     seen: set[tuple[str, ...]] = set()
     for i in range(len(words) - n + 1):
         gram = tuple(words[i : i + n])
@@ -94,29 +124,34 @@ def repeated_share(sentences: list[list[str]], paragraphs: list[list[str]], n: i
     return sum(marks) / max(1, len(words))
 
 
-def measures(text: str | None) -> tuple[float, float, float, float, float]:
-    """Shares by all together, sentence and paragraph; size of the compressed text over the text; distinct words over words."""
-    sentences = [tokens(x) for x in _SENTENCE.split(text or "")]
+def gram_share(words: list[str], n: int) -> float:
+    """Share of the runs of ``n`` words that are not new."""
+    runs = len(words) - n + 1
+    return 1 - len(set(zip(*(words[i:] for i in range(n)), strict=False))) / runs if runs > 0 else 0.0
+
+
+SIGNS = ("share", "gram_share", "sentence_share", "paragraph_share", "squeezed", "variety")
+
+
+def measures(text: str | None) -> tuple[float, ...]:
+    """The share, and what the rules see: the values named in ``SIGNS``."""
+    sentences, paragraphs = parts(text or "")
     words = [w for x in sentences for w in x]
     if not words:
-        return 0.0, 0.0, 0.0, 1.0, 1.0
-    signs = sum(1 for w in words if len(w) == 1 and _SIGN.match(w))
-    n = SIGNS_IN_PHRASE if signs * 2 > len(words) else WORDS_IN_PHRASE
-    if n == SIGNS_IN_PHRASE and "\u0e00" <= words[len(words) // 2][0] <= "\u0e7f":
-        n = THAI_SIGNS_IN_PHRASE  # an alphabet, so a phrase takes more signs
-    raw = " ".join(words).encode()
-    variety = len(set(words)) / len(words)
-    paragraphs = [tokens(x) for x in _PARAGRAPH.split(text)]
-    return repeated_share(sentences, paragraphs, n), unit_share(sentences), unit_share(paragraphs), len(zlib.compress(raw, 6)) / len(raw), variety
+        return 0.0, 0.0, 0.0, 0.0, 1.0, 1.0
+    n = width(words)
+    raw = " ".join(words).encode("utf-8", "surrogatepass")
+    squeezed = len(zlib.compress(raw, 1)) / len(raw)
+    return repeated_share(sentences, paragraphs, n), gram_share(words, max(2, n // 2)), unit_share(sentences), unit_share(paragraphs), squeezed, len(set(words)) / len(words)
 
 
 def measured(df: DataFrame, key: str, text: str) -> DataFrame:
     """key and the measures of every text."""
-    names = ["share", "sentence_share", "paragraph_share", "squeezed", "variety"]
+    names = SIGNS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = list(zip(*(measures(t) for t in b.column(1).to_pylist()), strict=True)) or [[]] * 5
+            cols = list(zip(*(measures(t) for t in b.column(1).to_pylist()), strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.float64()) for c in cols]], names=[key, *names])
 
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names)
@@ -140,17 +175,17 @@ def votes(rows: DataFrame) -> DataFrame:
         return F.when(yes(F.col(value)), 1).when(no(F.col(value)), 0).otherwise(-1)
 
     rules = {
-        "v_phrase": vote("share", lambda c: c >= 0.4, lambda c: c < 0.3),
-        "v_sentence": vote("sentence_share", lambda c: c >= 0.3, lambda c: c <= 0.05),
+        "v_grams": vote("gram_share", lambda c: c >= 0.35, lambda c: c < 0.2),
+        "v_sentence": vote("sentence_share", lambda c: c >= 0.3, lambda c: c < 0.15),
         "v_paragraph": vote("paragraph_share", lambda c: c >= 0.3, lambda c: F.lit(False)),
-        "v_squeezed": vote("squeezed", lambda c: c < 0.28, lambda c: c > 0.45),
-        "v_variety": vote("variety", lambda c: c < 0.3, lambda c: c > 0.6),
+        "v_squeezed": vote("squeezed", lambda c: c < 0.3, lambda c: c >= 0.36),
+        "v_variety": vote("variety", lambda c: c < 0.35, lambda c: c >= 0.45),
         "v_noted": vote("times", lambda c: c >= 3, lambda c: F.lit(False)),
     }
     return rows.withColumns({k: v.cast("int") for k, v in rules.items()})
 
 
-VOTERS = ("v_phrase", "v_sentence", "v_paragraph", "v_squeezed", "v_variety", "v_noted")
+VOTERS = ("v_grams", "v_sentence", "v_paragraph", "v_squeezed", "v_variety", "v_noted")
 
 
 def trust(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> dict[tuple[int, ...], float]:

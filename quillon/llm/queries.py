@@ -115,7 +115,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results in which repeated phrases, sentences and paragraphs make up 40 per cent or more."""
+    """Results that more likely than not repeat themselves, by the posterior, and whose exact share is 40 per cent or more."""
     rows = p7_shares(spark, sf_dir).filter(F.col("posterior") >= 0.5)
     return rows.filter(F.col("share") >= p7_repetition.THRESHOLD).select("result_id").distinct()
 

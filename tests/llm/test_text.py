@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import p2_forms, p3_sentences, p5_markup, p6_level, p7_repetition, p10_residue
 
@@ -283,6 +284,32 @@ def test_judged_table(spark):
     assert p7_repetition.judged(results.limit(0), hits, "result_id", "text").count() == 0
 
 
+def test_posterior_takes_the_place_of_passing_all(spark):
+    rng = random.Random(12)
+    nouns = [a + b for a in "ba re mi lo tu sa ke do".split() for b in "lan ter mos vin gal pet rud".split()]
+    said = lambda n: " ".join(rng.choice(nouns) for _ in range(n))
+    plain = [(i, " ".join(f"{said(9)}." for _ in range(12))) for i in range(300)]
+    whole = [(1000 + i, f"{said(9)}. " * 14) for i in range(20)]  # the same sentence
+    phrases = []
+    for i in range(8):  # the same phrase in sentences that all differ
+        phrase = said(8)
+        phrases.append((2000 + i, " ".join(f"{w} {phrase}." for w in rng.sample(nouns, 14))))
+    results = spark.createDataFrame(plain + whole + phrases, "result_id long, text string")
+    hits = spark.createDataFrame([], "result_id long, rule_id string, note string")
+    got = {r["result_id"]: r["posterior"] for r in p7_repetition.judged(results, hits, "result_id", "text").collect()}
+    assert {k for k, v in got.items() if v >= 0.5} == {k for k, _ in whole + phrases}
+    voted = p7_repetition.votes(p7_repetition.measured(results, "result_id", "text").withColumn("times", F.lit(None).cast("long")))
+    # they do not pass all rules: without the posterior they would be lost
+    assert {r["result_id"] for r in voted.filter("v_sentence = 0 AND v_grams = 1").collect()} == {k for k, _ in phrases}
+
+
+def test_widths_and_parts():
+    assert p7_repetition.width(["a"] * 9) == 6 and p7_repetition.width(["字"] * 9) == 12 and p7_repetition.width(["ก"] * 9) == 20 and p7_repetition.width(["字", "a"]) == 9
+    sentences, paragraphs = p7_repetition.parts("It's 3.5 pans. Wet!\n\nA pan\nand more")
+    assert sentences == [["it's", "pans"], ["wet"], ["a", "pan"], ["and", "more"]] and paragraphs == [["it's", "pans", "wet"], ["a", "pan", "and", "more"]]
+    assert p7_repetition.gram_share(["a"] * 5, 2) == 0.75 and p7_repetition.gram_share(["a"], 2) == 0.0
+
+
 # ------------------------------------------------------------------ 10
 
 RESIDUE = ["Error 404 - page not found.", "Dear {{name}},\n\nthank you for {{title}}.", "Please enable JavaScript to read this page.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Your text goes here\nTBD", "The talk by %%speaker%% began late. " + "It rained on the old mill all day. " * 30]
