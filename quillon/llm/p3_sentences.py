@@ -16,6 +16,8 @@ processed whatever their length, in one pass per text.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -104,7 +106,7 @@ def _rules(lang: str) -> list[Rule]:
         own += [
             # a quotation followed by its reporting clause, or by the particle that builds it in
             (KEEP, rf"{_END}{close}+", r"\s*(?:と|って|という|、|，|,)"),
-            (KEEP, rf"{_END}[”’」』]+", r"[^。！？\n“「『]{0,40}?(?:说|問|问|道|喊|叫|答|写道|说道|问道|言った|尋ねた)[。！？]"),
+            (KEEP, rf"{_END}[”’」』]+", r"[^。！？\n“「『]*?(?:说|問|问|道|喊|叫|答|写道|说道|问道|言った|尋ねた)[。！？]"),
             (KEEP, r"[0-9０-９][.．]", r"[0-9０-９]"),
             # the sentence mark before a closing quote or bracket waits for it
             (KEEP, _END, rf"{_IGN}(?:{_END}|[”’」』）)\]】》〉])"),
@@ -182,14 +184,16 @@ _BLANK_LINE = r"(?:\r\n|\n|\r)(?:[^\S\n\r]|[​⁠﻿­])*(?:\r\n|\n|\r)\s*"
 
 @lru_cache(maxsize=64)
 def compiled(lang: str) -> tuple:
-    """Candidate pattern and the rules, each as one pattern anchored at a position."""
-    rules = [(brk, regex.compile(f"(?<={before})(?={after})")) for brk, before, after in _rules(lang)]
-    return regex.compile(_candidate(lang)), rules
+    """Candidate pattern; the ordered rules as one pattern anchored at a position, whose group tells which matched first; what each says."""
+    rules = _rules(lang)
+    cascade = "|".join(f"(?<={before})(?={after})()" for _, before, after in rules)
+    return regex.compile(_candidate(lang)), regex.compile(cascade), [False, *(brk for brk, _, _ in rules)]
 
 
 _BLANKS = regex.compile(_BLANK_LINE)
 _SCRIPTS = [("th", r"\p{Thai}"), ("hi", r"\p{Devanagari}"), ("ar", r"\p{Arabic}"), ("ja", r"[\p{Hiragana}\p{Katakana}]"), ("zh", r"\p{Han}"), ("ru", r"\p{Cyrillic}")]
 _SCRIPTS = [(k, regex.compile(v)) for k, v in _SCRIPTS]
+_OTHER_SCRIPT = regex.compile(r"[\p{Thai}\p{Devanagari}\p{Arabic}\p{Hiragana}\p{Katakana}\p{Han}\p{Cyrillic}]")
 _LATIN = regex.compile(r"\p{Latin}")
 # A few of the commonest words of each language in Latin script
 _COMMON = {
@@ -202,6 +206,7 @@ COMMON_WORDS = frozenset().union(*_COMMON.values())
 # Letters and marks that one of them uses and the others hardly do
 _MARKS = {"de": regex.compile(r"[äöüßÄÖÜ„]"), "fr": regex.compile(r"[àâçèêëîôœùûÀÉÊ]|\b[LDldcs]['’](?=\p{L})"), "es": regex.compile(r"[áíóúñ¿¡]")}
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}\p{Cf}]*")
+_ASCII_WORD = re.compile(r"[a-z]+")
 
 
 def tag(lang: str | None) -> str:
@@ -212,20 +217,22 @@ def tag(lang: str | None) -> str:
 def language(text: str, given: str | None) -> str:
     """The language whose rules hold: by script first, in Latin script by common words, then as given."""
     # a share of each script over the whole text; look-alike letters inside words do not outweigh the rest
-    latin = len(_LATIN.findall(text))
-    best, most = "", latin * 0.5
-    for k, p in _SCRIPTS:
-        n = len(p.findall(text))
-        if k == "zh" and best == "ja":
-            continue
-        if k == "ja" and n and n * 20 > len(text):
-            return "ja"
-        if n > most:
-            best, most = k, n
-    if best:
-        return best
-    words = [w.lower() for w in _WORD.findall(text)]
-    votes = {k: sum(w in s for w in words) for k, s in _COMMON.items()}
+    if not text.isascii() and _OTHER_SCRIPT.search(text):
+        latin = len(_LATIN.findall(text))
+        best, most = "", latin * 0.5
+        for k, p in _SCRIPTS:
+            n = len(p.findall(text))
+            if k == "zh" and best == "ja":
+                continue
+            if k == "ja" and n and n * 20 > len(text):
+                return "ja"
+            if n > most:
+                best, most = k, n
+        if best:
+            return best
+    words = (_ASCII_WORD if text.isascii() else _WORD).findall(text.lower())
+    times = Counter(words)
+    votes = {k: sum(times[w] for w in s) for k, s in _COMMON.items()}
     given = tag(given)
     for k, p in _MARKS.items():
         votes[k] += len(p.findall(text))
@@ -239,19 +246,17 @@ def language(text: str, given: str | None) -> str:
 
 def boundaries(text: str, lang: str) -> list[int]:
     """Positions at which a sentence ends, in order."""
-    cand, rules = compiled(lang)
-    if lang in _COMMON:
+    cand, cascade, breaks = compiled(lang)
+    if lang in _COMMON and not text.isascii():
         text = text.translate(SAME_LENGTH)  # look-alike letters inside abbreviations; offsets stay
     cuts = []
     for m in cand.finditer(text):
         at = m.end()
         if at >= len(text):
             continue
-        for brk, p in rules:
-            if p.match(text, at):
-                if brk:
-                    cuts.append(at)
-                break
+        first = cascade.match(text, at)
+        if first and breaks[first.lastindex]:
+            cuts.append(at)
     cuts.extend(m.start() for m in _BLANKS.finditer(text))
     cuts.append(len(text))
     return sorted(set(cuts))
