@@ -1,20 +1,21 @@
 """Problem 6: the reading level of each text, from the surprisal of n-gram models.
 
-Reference texts of known levels train one interpolated n-gram model per level. Words enter by what
-makes them easy or learned (function words as themselves, others by ending and syllables), and a
-sentence's end by how long the sentence was, so that vocabulary, clauses and length all cost surprise.
-Of a text, the surprisal of every sentence under every model gives a distribution; the score of the
-text is the word-weighted median of how much better the demanding model explains its sentences than
-the models of the levels below. Isotonic regression, fitted on scores of reference texts left out of
-their own models, maps scores monotonically to levels.
+Reference texts of known levels train one interpolated n-gram model per level. Words that several
+reference texts know enter as themselves, others by what makes them easy or learned (ending and
+syllables), and a sentence's end by how long the sentence was, so that vocabulary, clauses and length
+all cost surprise. Of a text, the surprisal of every sentence under every model gives a distribution;
+the score of the text is the word-weighted median of how much better the most demanding model explains
+its sentences than the models of the levels below. Isotonic regression, fitted on scores of reference
+texts by models of the other folds, maps scores monotonically to levels.
 
 Measured indices (fog, smog, subordination) of a text are evidence of uneven trust: each is mapped to a
 level by an isotonic fit of its own, values outside what texts can have are dropped, and their median
-decides only where the text is too short to be judged by itself.
+counts as much as ``EVIDENCE_WORDS`` words of text, at every length.
 
 Defined results: null, empty and blank texts, and texts without words, have no level (null); texts in
 other languages none either; repeated rows are graded each; the latest measured row counts; an empty
-table gives an empty result. The models stay as small as the reference texts, whatever is graded.
+table gives an empty result. At most ``most`` reference texts, drawn by hash, train the models, in
+time that grows with their number; the models stay as small as they are, whatever is graded.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -34,7 +36,8 @@ from quillon.llm.p3_sentences import language, split
 from quillon.session import checkpointed
 
 ORDER = 3
-FEW_WORDS = 12
+EVIDENCE_WORDS = 6
+KNOWN_TEXTS = 4
 # Function words that keep their own identity, and endings of learned words
 _FUNCTION = set(
     "a an the this that these those any every no each some which who whose whom what it its he his she her they their them we our us i my me you your one"
@@ -65,15 +68,42 @@ def kind(part: str) -> str:
     return f"{beats}~{end}"
 
 
-def sentences_of(text: str) -> list[tuple[list[str], int]]:
+class Symbols(dict):
+    """Symbol of a word or mark: itself if the reference texts know it, else its class. Kept up to a bound."""
+
+    def __init__(self, known: frozenset[str] = frozenset()):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, part: str) -> str:
+        if len(self) > 300_000:
+            self.clear()
+        got = self[part] = part.lower() if part.lower() in self.known else kind(part)
+        return got
+
+    def __reduce__(self):
+        return Symbols, (self.known,)
+
+
+Sentences = list[tuple[list[str], int]]
+
+
+def well_known(texts: list[str], least: int = KNOWN_TEXTS) -> frozenset[str]:
+    """The words that stand in ``least`` or more of the reference texts."""
+    times = Counter(w for t in texts for w in set(_WORD.findall(t.lower())))
+    return frozenset(w for w, n in times.items() if n >= least)
+
+
+def sentences_of(text: str, symbols: Symbols) -> Sentences:
     """Symbols and number of words of every sentence."""
-    text = "".join(map(unit, text))
+    if not text.isascii():
+        text = "".join(map(unit, text))
     out = []
     for a, b in split(text, "en"):
         parts = _PART.findall(text[a:b])
         n = sum(p[0].isalpha() for p in parts)
         if n:
-            out.append(([kind(p) for p in parts] + [f"</{min(8, n // 5)}>"], n))
+            out.append(([*map(symbols.__getitem__, parts), f"</{min(8, n // 5)}>"], n))
     return out
 
 
@@ -83,7 +113,6 @@ class Model:
     def __init__(self, order: int = ORDER, symbols: int = 400):
         self.order, self.symbols = order, symbols
         self.next: dict[tuple[str, ...], Counter] = {}
-        self.bits: dict[tuple[str, ...], float] = {}  # of the n-grams met so far, up to a bound
 
     def add(self, seq: list[str]) -> None:
         padded = ["<s>"] * (self.order - 1) + seq
@@ -100,48 +129,62 @@ class Model:
                 got = (seen[symbol] + kinds * got) / (total + kinds)
         return got
 
-    def surprisal(self, seq: list[str]) -> float:
-        """Bits of a sentence."""
-        padded = ["<s>"] * (self.order - 1) + seq
-        k = self.order - 1
-        total = 0.0
-        for i in range(k, len(padded)):
-            gram = tuple(padded[i - k : i + 1])
-            bits = self.bits.get(gram)
-            if bits is None:
-                if len(self.bits) > 200_000:
-                    self.bits.clear()
-                bits = self.bits[gram] = -math.log2(self.p(gram[:-1], gram[-1]))
-            total += bits
-        return total
-
-
-def train(samples: list[tuple[list, int]]) -> dict[int, Model]:
+
+class Grams(dict):
+    """Row in ``bits`` of each n-gram met so far, up to a bound."""
+
+    def __init__(self, models: list[Model], most: int = 400_000):
+        super().__init__()
+        self.models, self.most, self.rows = models, most, []
+
+    def __missing__(self, gram: tuple[str, ...]) -> int:
+        got = self[gram] = len(self.rows)
+        self.rows.append([-math.log2(m.p(gram[:-1], gram[-1])) for m in self.models])
+        return got
+
+
+class Models:
+    """One model a level, and the surprisal of texts under all of them at once."""
+
+    def __init__(self, models: dict[int, Model], symbols: Symbols):
+        self.levels = sorted(models)
+        self.models = [models[k] for k in self.levels]
+        self.symbols = symbols
+        self.grams = Grams(self.models)
+
+    def __reduce__(self):
+        return Models, (dict(zip(self.levels, self.models, strict=True)), self.symbols)
+
+    def surprisal(self, sents: Sentences) -> np.ndarray:
+        """Bits of each sentence under each level's model, the levels in order."""
+        if len(self.grams.rows) > self.grams.most:
+            self.grams = Grams(self.models)
+        pad, order, ids, starts = ["<s>"] * (self.models[0].order - 1), self.models[0].order, [], []
+        for seq, _ in sents:
+            starts.append(len(ids))
+            padded = pad + seq
+            ids.extend(map(self.grams.__getitem__, zip(*(padded[i:] for i in range(order)), strict=False)))
+        return np.add.reduceat(np.array([self.grams.rows[i] for i in ids]), starts, axis=0)
+
+
+def train(samples: list[tuple[Sentences, int]], symbols: Symbols) -> Models:
     models: dict[int, Model] = {}
     for sents, level in samples:
         m = models.setdefault(level, Model())
         for seq, _ in sents:
             m.add(seq)
-    return models
-
-
-def score(models: dict[int, Model], sents: list) -> float | None:
-    """Word-weighted median, over sentences, of the bits a word that the top level's model saves."""
-    top = max(models)
-    gains = []
-    for seq, n in sents:
-        bits = {k: m.surprisal(seq) for k, m in models.items()}
-        low = min(v for k, v in bits.items() if k != top)
-        gains.append(((low - bits[top]) / len(seq), n))
-    if not gains:
+    return Models(models, symbols)
+
+
+def score(models: Models, sents: Sentences) -> float | None:
+    """Word-weighted median, over sentences, of the bits a symbol that the top level's model saves."""
+    if not sents:
         return None
-    gains.sort()
-    half, run = sum(n for _, n in gains) / 2, 0
-    for g, n in gains:
-        run += n
-        if run >= half:
-            return g
-    return gains[-1][0]
+    bits = models.surprisal(sents)
+    gains = (bits[:, :-1].min(axis=1) - bits[:, -1]) / np.array([len(seq) for seq, _ in sents])
+    order = np.argsort(gains, kind="stable")
+    run = np.cumsum(np.array([n for _, n in sents])[order])
+    return float(gains[order][np.searchsorted(run, run[-1] / 2)])
 
 
 Blocks = list[tuple[float, float, float]]
@@ -172,19 +215,23 @@ def mapped(blocks: Blocks, x: float) -> float:
     return level + (above - level) * (x - last) / (start - last)
 
 
-def fit(rows: list[tuple[str, int]]) -> tuple[dict[int, Model], Blocks, list[tuple[float, int]]]:
-    """Models of all reference texts, the isotonic map, and the left-out scores it was fitted on."""
-    samples = [(sentences_of(t), int(y)) for t, y in rows if t and y is not None]
-    samples = [s for s in samples if s[0]]
-    if len({y for _, y in samples}) < 2:
+def fit(rows: list[tuple[str, int]], folds: int = 10) -> tuple[Models, Blocks, list[tuple[float, int]]]:
+    """Models of all reference texts, the isotonic map, and the left-out scores it was fitted on.
+
+    Each text is scored by models of the other folds; the texts of each level are dealt over the folds in turn."""
+    rows = sorted(((t, int(y)) for t, y in rows if t and y is not None), key=lambda r: r[1])
+    symbols = Symbols(well_known([t for t, _ in rows]))
+    samples = [s for s in ((sentences_of(t, symbols), y) for t, y in rows) if s[0]]
+    levels = {y for _, y in samples}
+    if len(levels) < 2:
         raise ValueError("reference texts of at least two levels are needed")
     left_out = []
-    for i, (sents, y) in enumerate(samples):
-        rest = samples[:i] + samples[i + 1 :]
-        if len({b for _, b in rest}) < 2:
-            continue
-        left_out.append((score(train(rest), sents), y))
-    return train(samples), isotonic([(s, float(y), 1.0) for s, y in left_out]), left_out
+    for f in range(folds):
+        rest = [s for i, s in enumerate(samples) if i % folds != f]
+        if {y for _, y in rest} == levels:
+            models = train(rest, symbols)
+            left_out += [(score(models, sents), y) for sents, y in samples[f::folds]]
+    return train(samples, symbols), isotonic([(s, float(y), 1.0) for s, y in left_out]), left_out
 
 
 #: What an index of a text can be at most; above or below zero it is a mistake
@@ -198,8 +245,8 @@ def latest(df: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
 
 
 def text_levels(results: DataFrame, samples: DataFrame, key: str, text: str, lang: str, most: int = 5000) -> DataFrame:
-    """key, words, score and text_level of every English text. At most ``most`` reference texts are used."""
-    rows = samples.filter("text IS NOT NULL AND reading_level IS NOT NULL").orderBy("sample_id").limit(most).collect()
+    """key, words, score, text_level and the least and greatest level of every English text."""
+    rows = samples.filter("text IS NOT NULL AND reading_level IS NOT NULL").orderBy(F.xxhash64("sample_id", "text")).limit(most).collect()
     models, blocks, _ = fit([(r["text"], r["reading_level"]) for r in rows])
     shared = results.sparkSession.sparkContext.broadcast((models, blocks))
 
@@ -208,17 +255,17 @@ def text_levels(results: DataFrame, samples: DataFrame, key: str, text: str, lan
         for b in batches:
             words, scores, levels = [], [], []
             for t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                sents = sentences_of(t) if t and not t.isspace() and language(t, g) == "en" else []
+                sents = sentences_of(t, models.symbols) if t and not t.isspace() and language(t, g) == "en" else []
                 s = score(models, sents)
                 words.append(sum(n for _, n in sents)), scores.append(s), levels.append(None if s is None else mapped(blocks, s))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int32()), pa.array(scores, pa.float64()), pa.array(levels, pa.float64())], names=[key, "words", "score", "text_level"])
 
     src = results.select(F.col(key), F.col(text).cast("string").alias("text_"), F.col(lang).cast("string").alias("lang_"))
-    return src.mapInArrow(run, f"`{key}` {results.schema[key].dataType.simpleString()}, words int, score double, text_level double")
+    return src.mapInArrow(run, f"`{key}` {results.schema[key].dataType.simpleString()}, words int, score double, text_level double").withColumns({"least_": F.lit(models.levels[0]), "most_": F.lit(models.levels[-1])})
 
 
 def graded(results: DataFrame, samples: DataFrame, stylometry: DataFrame, signals: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """key, score, text_level, evidence_level and level (1..3) of every English text with words."""
+    """key, score, text_level, evidence_level and level of every English text with words."""
     levels = checkpointed(text_levels(results, samples, key, text, lang).filter("text_level IS NOT NULL"))
     fog = latest(stylometry, key, "analyzed_at", ["gunning_fog"])
     other = latest(signals, key, "analyzed_at", ["smog", "subordination"])
@@ -227,7 +274,7 @@ def graded(results: DataFrame, samples: DataFrame, stylometry: DataFrame, signal
     for name, (most, width) in PLAUSIBLE.items():
         ok = (F.col(name) >= 0) & (F.col(name) <= most) & ~F.isnan(name)
         buckets[f"b_{name}"] = F.when(ok, F.floor(F.col(name) / width).cast("int"))
-    joined = checkpointed(joined.select(key, "words", "score", "text_level", *[v.alias(k) for k, v in buckets.items()]))
+    joined = checkpointed(joined.select(key, "words", "score", "text_level", "least_", "most_", *[v.alias(k) for k, v in buckets.items()]))
     for name, (most, width) in PLAUSIBLE.items():
         b = f"b_{name}"
         means = joined.filter(F.col(b).isNotNull()).groupBy(b).agg(F.avg("text_level").alias("y"), F.count(F.lit(1)).alias("n")).collect()
@@ -237,6 +284,7 @@ def graded(results: DataFrame, samples: DataFrame, stylometry: DataFrame, signal
     evidence = F.array_sort(F.array_compact(F.array(*[F.col(f"e_{n}") for n in PLAUSIBLE])))
     n = F.size(evidence)
     median = F.when(n > 0, (F.element_at(evidence, F.floor((n + 1) / 2).cast("int")) + F.element_at(evidence, F.ceil((n + 1) / 2).cast("int"))) / 2)
-    out = joined.select(key, "words", "score", "text_level", median.alias("evidence_level"))
-    judged = F.when((F.col("words") < FEW_WORDS) & F.col("evidence_level").isNotNull(), (F.col("text_level") + F.col("evidence_level")) / 2).otherwise(F.col("text_level"))
-    return out.withColumn("level", F.greatest(F.lit(1), F.least(F.lit(3), F.floor(judged + 0.5))).cast("int"))
+    out = joined.withColumn("evidence_level", median)
+    evidence_words = F.when(F.col("evidence_level").isNull(), 0).otherwise(EVIDENCE_WORDS)
+    judged = (F.col("words") * F.col("text_level") + evidence_words * F.coalesce("evidence_level", F.lit(0.0))) / (F.col("words") + evidence_words)
+    return out.select(key, "words", "score", "text_level", "evidence_level", F.greatest("least_", F.least("most_", F.floor(judged + 0.5))).cast("int").alias("level"))

@@ -1,5 +1,6 @@
 """Forms (2), sentences (3), markup (5), levels (6), repetition (7) and residue (10)."""
 
+import math
 import random
 
 import pytest
@@ -211,6 +212,34 @@ def test_models_are_distributions():
     assert sum(m.p(("<s>", "a"), x) for x in "abcde") == pytest.approx(1, abs=1e-9)
 
 
+def test_surprisal_of_sentences_is_that_of_their_grams():
+    rows = [(t, 1) for t in EASY] + [(t, 3) for t in HARD]
+    models, blocks, left_out = p6_level.fit(rows)
+    sents = p6_level.sentences_of(EASY[0], models.symbols)
+    bits = models.surprisal(sents)
+    for (seq, _), row in zip(sents, bits, strict=True):
+        padded = ["<s>", "<s>", *seq]
+        for m, x in zip(models.models, row, strict=True):
+            assert x == pytest.approx(-sum(math.log2(m.p(tuple(padded[i : i + 2]), padded[i + 2])) for i in range(len(seq))))
+    assert models.levels == [1, 3] and len(left_out) == len(rows)
+    assert p6_level.score(models, []) is None and p6_level.score(models, p6_level.sentences_of(HARD[0], models.symbols)) > p6_level.score(models, sents)
+
+
+def test_fit_trains_once_a_fold(monkeypatch):
+    """The work grows with the number of reference texts, not with its square."""
+    times = []
+    train = p6_level.train
+    monkeypatch.setattr(p6_level, "train", lambda samples, symbols: times.append(len(samples)) or train(samples, symbols))
+    rows = [(t, 1) for t in EASY] * 20 + [(t, 3) for t in HARD] * 20
+    p6_level.fit(rows)
+    assert len(times) == 11 and sum(times) == 10 * len(rows)
+
+
+def test_known_words_stand_for_themselves():
+    symbols = p6_level.Symbols(p6_level.well_known(["the pan was hot"] * 4 + ["a rare kettle"]))
+    assert symbols["Pan"] == "pan" and symbols["kettle"] == p6_level.kind("kettle") and symbols["42"] == "0"
+
+
 def test_levels_of_left_out_texts(spark):
     samples = spark.createDataFrame([(i, t, 1) for i, t in enumerate(EASY)] + [(9 + i, t, 3) for i, t in enumerate(HARD)] + [(99, None, 2)], "sample_id long, text string, reading_level int")
     rows = [(1, EASY[0] + " She has a pan. It is hot.", "en"), (2, HARD[0] + " " + HARD[2], "EN"), (3, None, "en"), (4, " ", "en"), (5, "Der Hund und die Katze sind nicht auf dem Tisch.", "de"), (6, "42!", "en")]
