@@ -7,9 +7,11 @@ lowest set bit at or above it. If nothing fits and the packer is full, the fulle
 An item above the capacity is cut into pieces of the full capacity and a rest; each full piece is a
 container of its own, the rest is packed like any item. No other item is ever cut.
 
-Items are dealt into chunks by a hash of their key, each chunk packed by one packer in key order.
-The number of chunks follows the total size, so each packs thousands of containers, and what its
-last open containers leave unused is a fixed small share at every scale.
+Items are dealt into chunks by a hash of their key and their place among the rows, so copies of one key
+spread over all chunks; each chunk is packed by one packer in key order. The number of chunks follows
+the total size, so each packs thousands of containers, and what its last open containers leave unused
+is a fixed small share at every scale; chunks share partitions, whose number is the session's. Places
+are kept with the items before packing, so a retry packs alike.
 
 Defined results: items of size 0 or null (null and empty texts) take no room: container and place are
 null. Repeated keys are packed as separate items. A null key is an item like any other. An empty
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import checkpointed
+from quillon.session import checkpointed, default_parallelism
 
 CAPACITY = 2048
 OPEN_BINS = 64
@@ -56,6 +58,9 @@ class BestFit:
             free = size + (fits & -fits).bit_length() - 1
             at = self._take(free)
         else:
+            if size == self.capacity:  # full at once, so it is never open
+                self.next_id += 1
+                return self.next_id - 1, 0, 0
             if len(self.filled) >= self.limit and self.bits:
                 fullest = (self.bits & -self.bits).bit_length() - 1
                 self.filled.pop(self._take(fullest))
@@ -75,7 +80,7 @@ class BestFit:
 
 def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, bins_per_chunk: int = BINS_PER_CHUNK) -> DataFrame:
     """key, piece_no, token_start, n_tokens, container_id, place and offset of every piece."""
-    items = checkpointed(sizes.select(F.col(key).alias("k"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("n")))
+    items = checkpointed(sizes.select(F.col(key).alias("k"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("n"), F.monotonically_increasing_id().alias("seq")))
     total = items.agg(F.sum("n")).first()[0] or 0
     chunks = max(1, -(-total // (capacity * bins_per_chunk)))
     kind = sizes.schema[key].dataType.simpleString()
@@ -85,7 +90,8 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, open_b
         fit, chunk = None, None
         for b in batches:
             rows = []
-            cols = (b.column(i).to_pylist() for i in range(3))
+            types = [b.column(0).type, *kinds]
+            cols = (b.column(i).to_pylist() for i in (0, 1, 3))
             for i, (k, n, c) in enumerate(zip(*cols, strict=True)):
                 if c != chunk:
                     fit, chunk = BestFit(capacity, open_bins), c
@@ -101,9 +107,8 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, open_b
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                     rows = []
 
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    types = [key_type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     names = [key, "piece_no", "token_start", "n_tokens", "container_id", "place", "offset"]
     # a chunk lies whole in one partition and is sorted, so a retry packs the same items in the same order
-    dealt = items.withColumn("chunk", F.pmod(F.xxhash64("k"), F.lit(chunks))).repartition(int(chunks), "chunk")
-    return dealt.sortWithinPartitions("chunk", "k", "n").mapInArrow(run, schema)
+    dealt = items.withColumn("chunk", F.pmod(F.xxhash64("k", "seq"), F.lit(chunks))).repartition(int(min(chunks, default_parallelism(sizes.sparkSession))), "chunk")
+    return dealt.sortWithinPartitions("chunk", "k", "n", "seq").mapInArrow(run, schema)

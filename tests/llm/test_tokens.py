@@ -76,6 +76,22 @@ def test_best_fit_is_tight_and_bounded():
     assert sum(load.values()) / (100 * len(load)) > 0.9
 
 
+def test_full_pieces_close_nothing():
+    fit = p9_pack.BestFit(10, 4)
+    for size in (3, 4, 5, 8):  # 3 and 4 share a container
+        fit.put(size)
+    open_before = dict(fit.filled)
+    assert fit.put(10)[1:] == (0, 0) and fit.filled == open_before
+
+
+def test_copies_of_a_key_spread_over_chunks(spark):
+    df = spark.createDataFrame([("same", 40)] * 4000 + [(None, 60)] * 2000, "k string, n int")
+    out = p9_pack.pack(df, "k", "n", 100, 8, 50).toPandas()
+    chunks = out["container_id"].astype("int64") // 2**32
+    assert chunks.nunique() == 56 and chunks.value_counts().max() < 3 * len(out) / 56
+    assert len(out) == 6000 and out.groupby("container_id")["n_tokens"].sum().max() <= 100
+
+
 def test_packing_keeps_every_token(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice([0, 5, 40, 100, 101, 250, rng.randint(1, 99)]), "x") for i in range(900)] + [(7, 30, "x"), (None, 12, "x"), (8, None, "x")]
