@@ -85,11 +85,20 @@ def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_markup.clean_texts(table(spark, sf_dir, "results"), "result_id", "text", "path")
 
 
-def p5_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delimiters that occur alike over the texts of a folder and suffix; texts without path are a host of their own, null."""
+def _host():
+    """Folder and suffix of a path; texts without path are a host of their own, null."""
     host = F.concat_ws(" ", F.split_part("path", F.lit("/"), F.lit(1)), F.regexp_extract("path", r"\.(\w+)$", 1))
-    host = F.when(F.col("path").isNotNull(), host)
-    return p5_markup.template_classes(table(spark, sf_dir, "results"), "result_id", "text", host)
+    return F.when(F.col("path").isNotNull(), host)
+
+
+def p5_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delimiters that occur alike over the texts of a host."""
+    return p5_markup.template_classes(table(spark, sf_dir, "results"), "result_id", "text", _host())
+
+
+def p5_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands in the slots of the template deduced for each host."""
+    return p5_markup.template_slots(table(spark, sf_dir, "results"), "result_id", "text", _host())
 
 
 def _levels(spark: SparkSession, sf_dir: str, results: DataFrame) -> DataFrame:
@@ -159,6 +168,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_clean": p5_clean,
+    "p5_slots": p5_slots,
     "p5_template": p5_template,
     "p6_found": p6_found,
     "p6_levels": p6_levels,

@@ -186,6 +186,22 @@ def test_template_of_texts_without_path(spark, tmp_path):
     assert got == {"a html": 2, None: 2}
 
 
+def test_braces_of_any_depth():
+    assert p5_markup.tex_text(r"\emph{a {b {c {d {e}}}}} \textbf{\emph{x}}") == "a {b {c {d {e}}}} x"
+    assert p5_markup.read(r"\section{One {two {three {four}}}}\begin{itemize}\item it\end{itemize}", "a.tex").elements[0] == ("heading", "One {two {three {four}}}")
+    assert p5_markup.tex_text("\\emph{" + "{" * 3000) == "\\emph" + "{" * 3001  # never closed
+
+
+def test_template_slots(spark):
+    pages = [(f"p{i}", f"<h1>Head {i}</h1><ul>" + "".join(f"<li>item {i} {j}</li>" for j in range(i + 1)) + "</ul>$x_" + str(i) + "$", "h", 0) for i in range(5)]
+    df = spark.createDataFrame([*pages, (None, None, "h", 0), ("q", "", None, 0), ("r", "$a$ and $b$", None, 0)], "k string, text string, host string, body int")
+    classes = {tuple(r["marks"]) for r in p5_markup.ordered_classes(df, "k", "text", F.col("host")).filter("host = 'h'").collect()}
+    assert classes == {("<h1", "</h1", "<ul", "</ul"), ("<li", "</li"), ("$",)}
+    got = {(r["k"], r["body"]) for r in p5_markup.template_slots(df, "k", "text", F.col("host")).collect()}
+    assert {("p2", "Head 2"), ("p2", "item 2 1"), ("p4", "x_4"), ("r", "a"), ("r", "b")} <= got
+    assert p5_markup.template_slots(df.limit(0), "k", "text", F.col("host")).count() == 0
+
+
 # ------------------------------------------------------------------ 6
 
 EASY = ["The cat sat on the mat. We saw a dog. It was red and wet.", "He ran to the pond. A fish swam by. It was big.", "I have a hat. The hat is blue. We like it."]
