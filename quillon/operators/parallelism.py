@@ -30,14 +30,24 @@ def _skeleton(ws: Column) -> Column:
     return F.when((n > 0) & (n <= LONGEST_UNIT), F.concat_ws("|", cls(0), cls(1), F.floor(n / 3).cast("string")))
 
 
-def _islands(units: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Maximal islands of one non-null value: keys, start, end, arity, proper and texts in order."""
+def _islands(units: DataFrame, keys: list[str], order: str, kinds: tuple[str, ...]) -> DataFrame:
+    """Maximal islands of three or more equal non-null values of each kind: keys, kind_rank, start, end, arity, proper, texts in order.
+
+    All kinds share one pass; a unit alone or in a pair goes before anything is gathered."""
     w = Window.partitionBy(*keys).orderBy(order)
-    u = units.withColumn("same", F.col(value).isNotNull() & F.coalesce(F.lag(value).over(w) == F.col(value), F.lit(False)))
-    u = u.withColumn("island", F.sum(F.when(F.col("same"), 0).otherwise(1)).over(w)).filter(F.col(value).isNotNull())
+    u = units
+    for k, value in enumerate(kinds):
+        u = u.withColumn(f"same{k}", F.col(value).isNotNull() & F.coalesce(F.lag(value).over(w) == F.col(value), F.lit(False)))
+    near = {}
+    for k in range(len(kinds)):
+        same, after, later = F.col(f"same{k}"), F.coalesce(F.lead(f"same{k}").over(w), F.lit(False)), F.coalesce(F.lead(f"same{k}", 2).over(w), F.lit(False))
+        near |= {f"in{k}": (same & F.coalesce(F.lag(f"same{k}").over(w), F.lit(False))) | (same & after) | (after & later), f"island{k}": F.sum(F.when(same, 0).otherwise(1)).over(w)}
+    u = u.withColumns(near)
+    each = F.filter(F.array(*[F.when(F.col(f"in{k}"), F.struct(F.lit(k).alias("kind_rank"), F.col(f"island{k}").alias("island"))) for k in range(len(kinds))]), lambda x: x.isNotNull())
+    u = u.filter(F.greatest(F.lit(False), *[F.col(f"in{k}") for k in range(len(kinds))])).select(*keys, order, "start", "end", "text", "proper", F.explode(each).alias("i"))
     texts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col("text")))), lambda x: x["text"])
     return (
-        u.groupBy(*keys, "island")
+        u.groupBy(*keys, "i.kind_rank", "i.island")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("arity"), F.min(F.coalesce("proper", F.lit(False))).alias("proper"), texts.alias("texts"))
         .filter(F.col("arity") >= MIN_RUN)
     )
@@ -81,15 +91,12 @@ def runs(p: Parsed) -> DataFrame:
     parts = []
 
     def add(units: DataFrame, keys: list[str], order: str, level: str, rank: int, kinds: tuple[str, ...], width: int | None = None) -> None:
-        for k, value in enumerate(kinds):
-            got = _islands(units, keys, order, value)
-            if level == "in-sentence":
-                got = got.filter(~F.col("proper"))  # a list of names is no device
-            texts = F.transform("texts", lambda t: F.substring(t, 1, width)) if width else F.col("texts")
-            joined = F.array_join(texts, " | ")
-            parts.append(
-                got.select("doc_id", "start", "end", F.lit(level).alias("level"), "arity", (joined if width else F.substring(joined, 1, 70)).alias("preview"), F.lit(rank).alias("level_rank"), F.lit(k).alias("kind_rank"))
-            )
+        got = _islands(units, keys, order, kinds)
+        if level == "in-sentence":
+            got = got.filter(~F.col("proper"))  # a list of names is no device
+        texts = F.transform("texts", lambda t: F.substring(t, 1, width)) if width else F.col("texts")
+        joined = F.array_join(texts, " | ")
+        parts.append(got.select("doc_id", "start", "end", F.lit(level).alias("level"), "arity", (joined if width else F.substring(joined, 1, 70)).alias("preview"), F.lit(rank).alias("level_rank"), "kind_rank"))
 
     add(_carriers_cut(p.segments), ["doc_id", "sent_no"], "seg_no", "in-sentence", 0, ("skeleton", "lead"))
     add(_units(p.sentences.select("doc_id", "sent_no", "start", "end", "text"), "sent_no"), ["doc_id"], "sent_no", "cross-sentence", 1, ("skeleton", "lead"))

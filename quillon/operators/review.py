@@ -57,13 +57,12 @@ def paragraph_scores(p: Parsed, found: DataFrame, weights: DataFrame | None = No
     inside = hits_in_paragraphs(with_weight(found, weights).select("doc_id", "start", "end", "rule_id", "weight"), p.paragraphs)
     rules = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("start", "rule_id"))), lambda x: x["rule_id"]))
     agg = inside.groupBy("doc_id", "para_no").agg(F.count(F.lit(1)).alias("hits"), F.sum("weight").alias("sum"), rules.alias("rules"))
-    j = agg.join(p.paragraphs, ["doc_id", "para_no"]).join(p.docs.withColumnRenamed("text", "whole"), "doc_id")
-    head = F.expr("substring(whole, 1, start)")
+    j = agg.join(p.paragraphs, ["doc_id", "para_no"])
     words = F.greatest(F.col("n_words"), F.lit(1))
     return j.select(
         "doc_id",
         (F.col("para_no") + 1).alias("para_index"),
-        (F.length(head) - F.length(F.translate(head, "\n", "")) + 1).alias("line_no"),
+        "line_no",
         words.alias("words"),
         "hits",
         F.round(F.col("sum") / words * 1000, 1).alias("weighted"),
@@ -83,6 +82,7 @@ def punch(p: Parsed) -> DataFrame:
     from quillon.operators import parallelism
     from quillon.operators.rules import closers, rateable
 
+    p = p.settled
     per = p.sizes
     for name, df in (("closers", closers(p)), ("rateable", rateable(p)), ("doublets", parallelism.doublets(p)), ("runs", parallelism.runs(p))):
         per = per.join(df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name)), "doc_id", "left")
@@ -128,6 +128,7 @@ def review(p: Parsed, c: Config = Config(), found: DataFrame | None = None, weig
 
     instructions: groups by rule, the severest first, six spans shown in each; worst: the paragraph of the greatest
     weighted density, null without hits in paragraphs; notes: see ``notes``."""
+    p = p.settled
     found = hits(p, c) if found is None else found
     # hits meet their line and paragraph in one pass over the line breaks, the paragraphs and the hits
     breaks = p.docs.select("doc_id", F.split("text", "\n", -1).alias("lines"))

@@ -74,37 +74,22 @@ def _hits(df: DataFrame, rule: str | Column, text: Column, note: Column | str =
 
 
 def pattern_hits(p: Parsed, rules: list[str]) -> DataFrame:
-    """Every match of every pattern of the rules; patterns of one rule may overlap and all count.
-
-    One pass cuts each text by the patterns it has; where the matches stand is then worked out by one
-    expression for all patterns, from the lengths of matches and of what lies between."""
-    cuts = []
-    for r in rules:
-        flags = "" if r in pt.CASE_SENSITIVE else "(?i)"
-        for q in pt.RULES[r].patterns:
-            q = flags + pt.java(q)
-            cut = F.struct(F.lit(r).alias("rule_id"), F.regexp_extract_all("text", F.lit(q), F.lit(0)).alias("found"), F.split("text", q, -1).alias("gaps"))
-            cuts.append(F.when(F.col("text").rlike(q), cut))
-    per = p.docs.select("doc_id", F.explode(F.array(*cuts)).alias("c")).filter("c IS NOT NULL")
-    per = per.select("doc_id", "c.rule_id", F.posexplode(F.arrays_zip(F.col("c.gaps"), F.col("c.found"))).alias("i", "z"), F.transform("c.gaps", F.length).alias("gl"), F.transform("c.found", F.length).alias("fl"))
-    per = per.select("doc_id", "rule_id", "i", "gl", "fl", F.col("z.found").alias("text")).filter("text IS NOT NULL")
-
-    def total(c: Column) -> Column:
-        return F.aggregate(c, F.lit(0), lambda x, y: x + y)
-
-    start = total(F.slice("gl", 1, F.col("i") + 1)) + total(F.slice("fl", 1, F.col("i")))
-    cut = per.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
-    shown = F.when(F.col("rule_id").isin(*pt.CASE_SENSITIVE), F.col("text")).otherwise(tx.strip(F.col("text")))
-    return _hits(cut, F.col("rule_id"), shown)
+    """Every match of every pattern of the rules; patterns of one rule may overlap and all count."""
+    found = tx.matches(p.docs, [(r, pt.java(q), r not in pt.CASE_SENSITIVE) for r in rules for q in pt.RULES[r].patterns])
+    shown = F.when(F.col("name").isin(*pt.CASE_SENSITIVE), F.col("text")).otherwise(tx.strip(F.col("text")))
+    return _hits(found, F.col("name"), shown)
 
 
 def vocab(p: Parsed, c: Config) -> DataFrame:
     """Words of the list in their exact form, unless quoted or allowed."""
     wanted = sorted(lx.EXCESS_VOCABULARY - set(c.allow))
     t = p.tokens.withColumn("w", F.translate("lword", "’", "'")).filter(F.col("w").isin(*wanted) if wanted else F.lit(False))
-    quoted = p.docs.select("doc_id", tx.spans(F.col("text"), pt.QUOTED_SPAN).alias("quoted"))
-    t = t.join(quoted, "doc_id").filter(~F.exists("quoted", lambda q: (q["start"] <= F.col("start")) & (F.col("start") < q["end"])))
-    return _hits(t, "vocab", F.col("word"))
+    # quotations do not overlap, so a word is in one exactly if the last one begun before it has not ended
+    quoted = tx.matches(p.docs, [("", pt.java(pt.QUOTED_SPAN), True)])
+    events = quoted.select("doc_id", "start", F.lit(0).alias("kind"), F.col("end").alias("until")).unionByName(t.select("doc_id", "start", F.lit(1).alias("kind"), "end", "word"), allowMissingColumns=True)
+    w = Window.partitionBy("doc_id").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumn("until", F.last("until", ignorenulls=True).over(w))
+    return _hits(events.filter("kind = 1 AND coalesce(until <= start, true)"), "vocab", F.col("word"))
 
 
 def fragments(p: Parsed, c: Config) -> DataFrame:
@@ -136,24 +121,27 @@ def opener(p: Parsed, c: Config) -> DataFrame:
     return _hits(runs, "opener", F.concat("n", F.lit("x '"), F.col("first.word"), F.lit("' from \""), shown, F.lit('"')))
 
 
-def template_grams(p: Parsed, width: int, repeats: int) -> DataFrame:
-    """Word n-grams that occur ``repeats`` times in a document: gram, n and the place of the first."""
+def template_grams(p: Parsed, widths: tuple[tuple[int, int], ...] = ((4, 3), (6, 2))) -> DataFrame:
+    """Word n-grams of each width that occur as often in a document as asked: gram, n and the place of the first.
+
+    All widths come out of one pass over the words."""
     by_doc = Window.partitionBy("doc_id").orderBy("pos")
+    most = max(n for n, _ in widths)
     t = p.tokens.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).filter("total >= 12")
-    functional = F.col("lword").isin(*sorted(lx.FUNCTION_WORDS))
-    ahead = [F.lead("lword", i).over(by_doc) for i in range(1, width)]
-    content = F.max((~functional).cast("int")).over(by_doc.rowsBetween(0, width - 1))
-    t = t.select("doc_id", "pos", "start", F.lead("end", width - 1).over(by_doc).alias("end"), F.concat_ws(" ", "lword", *ahead).alias("gram"), content.alias("content"))
-    t = t.filter(F.col("end").isNotNull() & (F.col("content") == 1))
-    grams = t.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"), F.min_by("end", "start").alias("end"))
-    return grams.filter(F.col("n") >= repeats).withColumn("width", F.lit(width))
+    content = (~F.col("lword").isin(*sorted(lx.FUNCTION_WORDS))).cast("int")
+    ahead = {f"w{i}": F.lead("lword", i).over(by_doc) for i in range(1, most)}
+    t = t.withColumn("content", content)
+    t = t.withColumns(ahead | {f"e{n}": F.lead("end", n - 1).over(by_doc) for n, _ in widths} | {f"c{n}": F.max("content").over(by_doc.rowsBetween(0, n - 1)) for n, _ in widths})
+    grams = [F.struct(F.lit(n).alias("width"), F.lit(least).alias("least"), F.col(f"e{n}").alias("end"), F.col(f"c{n}").alias("content"), F.concat_ws(" ", "lword", *[f"w{i}" for i in range(1, n)]).alias("gram")) for n, least in widths]
+    t = t.select("doc_id", "start", F.explode(F.array(*grams)).alias("g")).filter("g.end IS NOT NULL AND g.content = 1")
+    found = t.groupBy("doc_id", "g.width", "g.least", "g.gram").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"), F.min_by("g.end", "start").alias("end"))
+    return found.filter("n >= least").select("doc_id", "gram", "n", "start", "end", "width")
 
 
 def template(p: Parsed, c: Config) -> DataFrame:
     """Phrases used again: four words three times, six words twice; contained ones go."""
-    g = template_grams(p, 4, 3).unionByName(template_grams(p, 6, 2))
     w = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "width").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("before", F.max("end").over(w)).filter(F.col("before").isNull() | (F.col("end") > F.col("before")))
+    g = template_grams(p).withColumn("before", F.max("end").over(w)).filter(F.col("before").isNull() | (F.col("end") > F.col("before")))
     return _hits(g, "template", F.col("gram"), F.concat("n", F.lit("x, "), "width", F.lit("-gram")))
 
 
@@ -250,6 +238,7 @@ BUILT = {
 
 def hits(p: Parsed, c: Config = Config()) -> DataFrame:
     """All hits of the enabled rules."""
+    p = p.settled
     on = [r for r in pt.RULES if r not in c.disabled]
     parts = []
     by_pattern = [r for r in on if pt.RULES[r].patterns and r not in EXTRA]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import lexicons as lx
 from quillon.functions import text as tx
-from quillon.operators.parse import parse, prepare
+from quillon.operators.parse import parse, prepare, segments
 
 BITS = ["Dr. Ames", "A. Orr", "went home", "etc.", "No. 5", "3.14", "why?!", '"Yes."', "(so.)", "...", "\n", "\n\n", "\n \n", " ", "\u00a0", "e.g. this", "end.", "vs. none", "🙂 x", "café", "a, b; c: d", "[x, y]", "“p, q”", "and", "or more", "  "]
 
@@ -136,7 +136,19 @@ def test_small_functions(spark):
         assert value(lambda x: tx.has_finite_verb(tx.words(x)), s) is v, s
 
 
-def test_spans_are_matches(spark):
+def test_matches_stand_where_they_are(spark):
     t = "Indeed, thus, 🙂 indeed, x THUS, y"
-    got = spark.createDataFrame([(t,)], "x string").select(tx.spans(F.col("x"), r"\b(?:indeed|thus),").alias("s")).first()["s"]
-    assert [(r["start"], r["end"], r["text"]) for r in got] == [(m.start(), m.end(), m.group()) for m in re.finditer(r"\b(?:indeed|thus),", t, re.I)]
+    df = spark.createDataFrame([(1, t), (2, ""), (3, "none"), (4, "thus,")], "doc_id long, text string")
+    got = {(r["doc_id"], r["name"], r["start"], r["end"], r["text"]) for r in tx.matches(df, [("a", r"\b(?:indeed|thus),", True), ("b", "[xy]", False)]).collect()}
+    every = {(k, n, m.start(), m.end(), m.group()) for k, x in ((1, t), (4, "thus,")) for n, p, f in (("a", r"\b(?:indeed|thus),", re.I), ("b", "[xy]", 0)) for m in re.finditer(p, x, f)}
+    assert got == every
+
+
+def test_many_matches_in_one_text(spark):
+    """Work and memory grow with the matches: 100,000 of them in one text take seconds."""
+    n = 100_000
+    df = spark.createDataFrame([(1, "ab - " * n)], "doc_id long, text string")
+    got = tx.matches(df, [("dash", "-", False)]).agg(F.count("*").alias("n"), F.max("end").alias("last"), F.sum("start").alias("sum")).first()
+    assert (got["n"], got["last"], got["sum"]) == (n, 5 * n - 1, sum(5 * i + 3 for i in range(n)))
+    brackets = spark.createDataFrame([(1, 0, 0, "(a, b) " * 20_000 + ", c")], "doc_id long, sent_no int, start int, text string")
+    assert segments(brackets).count() == 2
