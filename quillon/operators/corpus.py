@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import patterns as pt
+from quillon.session import checkpointed
 
 MIN_DOCS, VOICE_MIN_DOCS, VOICE_MIN_WORDS = 5, 3, 150
 VOICE_FEATURES = (
@@ -87,8 +88,16 @@ def disagreements(weights: DataFrame) -> DataFrame:
     return weights.filter(F.abs(F.col("pin") - F.col("weight")) > 0.5)
 
 
+MOST_BROADCAST = 100_000
+
+
 def _joined(values: DataFrame, per: DataFrame, group: list[str]) -> DataFrame:
-    """values with the row of their group and feature; a null group is a group."""
+    """values with the row of their group and feature; a null group is a group.
+
+    There are few features, so the rows of a group are broadcast if they are at most ``MOST_BROADCAST``;
+    beyond that the groups are many and the join spreads by them."""
+    per = checkpointed(per)
+    per = F.broadcast(per) if per.count() <= MOST_BROADCAST else per
     on = values["feature"] == per["feature"]
     for g in group:
         on = on & values[g].eqNullSafe(per[g])

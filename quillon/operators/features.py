@@ -248,6 +248,17 @@ def reader_signals(p: Parsed, audience: str = "expert") -> DataFrame:
     return j.withColumn("audience", F.lit(audience))
 
 
+def audited(p: Parsed, sides: DataFrame, audience: str = "expert") -> DataFrame:
+    """side, feature and value of all stylometry and reader figures; a figure of both is that of the reader layer."""
+    from quillon.operators.corpus import long_form
+
+    reader = reader_signals(p, audience).drop("audience")
+    style = stylometry(p).drop(*[c for c in reader.columns if c != "doc_id"])
+    j = style.join(reader, "doc_id").join(sides, "doc_id")
+    names = [c for c, t in j.dtypes if t in ("double", "bigint", "int") and c != "doc_id"]
+    return long_form(j, names, ("side",))
+
+
 def reader_notes(signals: DataFrame) -> DataFrame:
     """doc_id and the notes that hold for its audience."""
     e, g = F.col("audience") == "expert", F.col("audience") == "general"

@@ -196,12 +196,17 @@ def drift(pairs: DataFrame, c: Config = Config(), found=hits) -> DataFrame:
     return wide.select(F.col("pair").alias("pair_id"), *[c for c in wide.columns if c != "pair" and not c.startswith("cadence")], verdict.alias("verdict"), note.alias("note"))
 
 
-def contract(c: Config = Config(), audience: str | None = None, voice: dict[str, float] | None = None) -> str:
-    """The enabled rules as instructions for a writer."""
+def contract(c: Config = Config(), audience: str | None = None, voice: dict[str, float] | None = None, profile: str | None = None) -> str:
+    """The enabled rules as instructions for a writer; under a profile, the limits that will judge the text."""
     lines = [f"[{r.id}] {r.why} {r.fix}" for r in pt.RULES.values() if r.id not in c.disabled]
     if audience == "expert":
         lines += ["Let the tone move; do not keep it even.", "Do not repeat the words of the sentence before.", "Use several devices once each."]
     elif audience == "general":
         lines += ["Keep sentences easy to follow and words concrete.", "Vary the words within that."]
+    if profile:
+        lines.append(f"At most {c.parallel_budget_per_1k:g} parallel runs and {c.doublet_budget_per_1k:g} balanced pairs in 1000 words; at most {c.closer_budget_ratio:.0%} of paragraphs end on a short sentence.")
+        lines += [f"No sentence without a verb under {c.min_sentence_words} words."] if c.min_sentence_words else []
+        lines += [f"Choppiness at most {c.max_choppiness:g}."] if c.max_choppiness is not None else []
+        lines += [f"At most {c.person_budget_per_1k:g} sentences in 1000 words with a 'you' for anyone."] if c.person_budget_per_1k is not None else []
     lines += [f"Usual {k}: {v:g}" for k, v in sorted((voice or {}).items())]
     return "\n".join(lines)

@@ -74,3 +74,16 @@ def perplexity_windows(df: DataFrame, key: str, lps: str, window: int = 32) -> D
     per = tiles.groupBy(key).agg(F.sum("n").alias("token_count"), (F.sum("sum") / F.sum("n")).alias("m"), F.stddev_pop(ppl).alias("sd"), F.avg(ppl).alias("mean"), F.count(ppl).alias("tiles"))
     cv = F.when((F.col("tiles") > 1) & (F.col("mean") != 0), F.col("sd") / F.col("mean")).otherwise(0.0)
     return per.select(key, F.col("token_count").cast("long").alias("token_count"), F.round("m", 4).alias("mean_logprob"), F.round(F.exp(-F.col("m")), 3).alias("perplexity"), F.round(cv, 4).alias("window_cv"))
+
+
+def own_perplexity(p) -> DataFrame:
+    """Perplexity windows under the word frequencies of each document itself, in place of a language model."""
+    from pyspark.sql import Window
+
+    from quillon.operators import features
+
+    f = features.word_frequencies(p)
+    f = f.withColumn("lp", F.log(F.col("n") / F.sum("n").over(Window.partitionBy("doc_id"))))
+    t = p.tokens.select("doc_id", "pos", "lword").join(f.select("doc_id", "lword", "lp"), ["doc_id", "lword"])
+    lps = t.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lp"))), lambda x: x["lp"]).alias("lps"))
+    return perplexity_windows(lps, "doc_id", "lps")

@@ -52,7 +52,14 @@ DOCS = ",\n".join(
 PLAIN = RAW + ", docs AS (SELECT doc_id, body AS text FROM raw)"
 _CASE = "CASE length(coalesce(text, '')) % " + str(len(TRIGGERS)) + " " + " ".join(f"WHEN {i} THEN {q(t)}" for i, t in enumerate(TRIGGERS)) + " END"
 SEEDED_TEXT = f"coalesce(text, '') || chr(10) || chr(10) || {_CASE}"
-SEEDED = f"docs AS (SELECT doc_id, replace({SEEDED_TEXT}, chr(1), ' ') AS text FROM documents)"
+SEEDED = ",\n".join(
+    [
+        f"raw AS (SELECT doc_id, path, replace({SEEDED_TEXT}, chr(1), ' ') AS body FROM documents)",
+        _mask_step("m1", "raw", tx.FENCE, f"{_MD} AND contains(body, '```')"),
+        *[_mask_step(f"m{i}", f"m{i - 1}", p, f"{_MD} AND regexp_matches(body, {q(p)})") for i, p in enumerate(tx.FURNITURE, 2)],
+        "docs AS (SELECT doc_id, body AS text FROM m4)",
+    ]
+)
 
 _ABBR = "|".join(a.replace(".", r"\.") for a in lx.ABBREVIATIONS)
 _CUT = f"regexp_replace(para, {q(rf'([.!?]+)([\"' + chr(39) + rf')\]]*(?:{WS}|\z))')}, '\\1' || chr(1) || '\\2', 'g')"
@@ -341,3 +348,185 @@ ORACLE: dict[str, str] = {
           WHEN hits_before - hits_after < 1 THEN 'churned' WHEN density_after - density_before <= -0.015::DOUBLE AND abs(choppiness_after - choppiness_before) < 0.02::DOUBLE THEN 'traded' ELSE 'improved' END AS verdict,
         CASE WHEN abs(choppiness_after - choppiness_before) >= 0.02::DOUBLE THEN 'density and burstiness move with choppiness' END AS note FROM j""",
 }
+
+# ---------------------------------------------------------------- segments, runs, pairs and budgets
+
+_SEP = rf"[,;:]{WS}+"
+_WITHIN = "PARTITION BY doc_id, sent_no ORDER BY j"
+_ARMS = q(rf"(?is)^(.*?){re2(pt.COORDINATION)}(.*)$")
+SEGMENTS = f""",
+seg_pieces AS (
+  SELECT doc_id, sent_no, base, unnest(string_split(c, chr(1))) AS piece, unnest(range(len(string_split(c, chr(1))))) AS j
+  FROM (SELECT doc_id, sent_no, "start" AS base, regexp_replace(text, {q(rf'([(\[{{)\]}}"“”]|{_SEP})')}, '\\1' || chr(1), 'g') AS c FROM sents)),
+seg_sums AS (
+  SELECT *, base + coalesce(sum(length(piece)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place,
+    sum(CASE WHEN right(piece, 1) IN ('(', '[', '{{') THEN 1 WHEN right(piece, 1) IN (')', ']', '}}') THEN -1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS deep,
+    sum((right(piece, 1) IN ('"', '“', '”'))::int) OVER (w ROWS UNBOUNDED PRECEDING) AS quotes FROM seg_pieces WINDOW w AS ({_WITHIN})),
+seg_ends AS (
+  SELECT *, (regexp_matches(piece, {q(_SEP + '$')}) AND deep - least(0, min(deep) OVER ({_WITHIN} ROWS UNBOUNDED PRECEDING)) = 0 AND quotes % 2 = 0)::int AS ends FROM seg_sums),
+seg_whole AS (
+  SELECT doc_id, sent_no, seg, min(place) AS place, CASE WHEN max(ends) = 1 THEN regexp_replace(string_agg(piece, '' ORDER BY j), {q(_SEP + '$')}, '') ELSE string_agg(piece, '' ORDER BY j) END AS t
+  FROM (SELECT *, coalesce(sum(ends) OVER ({_WITHIN} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM seg_ends) GROUP BY ALL),
+seg_seen AS (SELECT *, count(*) OVER (PARTITION BY doc_id, sent_no) AS of, row_number() OVER (PARTITION BY doc_id, sent_no ORDER BY seg) AS nth FROM seg_whole WHERE regexp_replace(t, {_STRIP}, '', 'g') <> ''),
+seg_arms AS (SELECT *, of >= 2 AND nth = of AND regexp_matches(t, {_ARMS}) AS two FROM seg_seen),
+segs AS (
+  SELECT doc_id, sent_no, row_number() OVER (PARTITION BY doc_id, sent_no ORDER BY seg, k) - 1 AS seg_no, place + off AS "start", place + off + length(t) AS "end", t AS text FROM (
+    SELECT doc_id, sent_no, seg, place, 0 AS k, 0 AS off, CASE WHEN two THEN regexp_extract(t, {_ARMS}, 1) ELSE t END AS t FROM seg_arms
+    UNION ALL SELECT doc_id, sent_no, seg, place, 1, length(t) - length(regexp_extract(t, {_ARMS}, 2)), regexp_extract(t, {_ARMS}, 2) FROM seg_arms WHERE two))"""
+
+
+def stripped(col: str) -> str:
+    return f"regexp_replace({col}, {_STRIP}, '', 'g')"
+
+
+def lead_words(col: str) -> str:
+    """Words behind a conjunction in front."""
+    return words(f"regexp_replace({stripped(col)}, {q('(?i)' + re2(pt.LEAD))}, '')")
+
+
+def _cls(i: int) -> str:
+    w = f"lower(ws[{i}])"
+    return f"CASE WHEN {w} IS NULL THEN '' WHEN {w} IN {inlist(lx.FUNCTION_WORDS)} THEN {w} ELSE '#' END"
+
+
+def _skeleton(source: str) -> str:
+    return f"SELECT *, CASE WHEN len(ws) BETWEEN 1 AND 14 THEN ({_cls(1)}) || '|' || ({_cls(2)}) || '|' || (len(ws) // 3) END AS skeleton, lower(ws[1]) AS lead FROM ({source})"
+
+
+def _islands(units: str, keys: str, order: str, value: str, level: str, rank: int, kind: int, where: str = "", preview: str = "substring(string_agg(text, ' | ' ORDER BY o), 1, 70)") -> str:
+    w = f"PARTITION BY {keys} ORDER BY {order}"
+    return f"""SELECT doc_id, min("start") AS "start", max("end") AS "end", '{level}' AS level, count(*) AS arity, {preview} AS preview, {rank} AS level_rank, {kind} AS kind_rank
+  FROM (SELECT *, {order} AS o, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER ({w}) AS island FROM (SELECT *, coalesce({value} = lag({value}) OVER ({w}), false) AS same FROM {units}))
+  WHERE {value} IS NOT NULL GROUP BY {keys}, island HAVING count(*) >= 3 {where}"""
+
+
+def _uncontained(source: str) -> str:
+    """Without what ends no later than something before it."""
+    return f"""SELECT * EXCLUDE (before) FROM (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY "start", "end" - "start" DESC, arity DESC, level_rank, kind_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {source}) WHERE before IS NULL OR "end" > before"""
+
+
+_PROPER = f"coalesce(regexp_matches(regexp_extract(text, {WORD}), '^[A-Z]'), false) AS proper"
+_OWN = words(f"regexp_replace(text, {q('(?i)' + re2(pt.LEAD))}, '')")
+_TRIMMED = "CASE WHEN keep >= 1 AND seg_no = 0 AND len(own) > keep THEN array_to_string(own[len(own) - keep + 1:len(own)], ' ') WHEN keep >= 1 AND seg_no = of - 1 AND len(own) > keep THEN array_to_string(own[1:keep], ' ') ELSE text END"
+RUNS = f""",
+seg_sized AS (SELECT *, count(*) OVER (PARTITION BY doc_id, sent_no) AS of, len({words('text')}) AS n, {_OWN} AS own FROM segs),
+seg_middle AS (SELECT doc_id, sent_no, list_sort(list(n)) AS lens FROM seg_sized WHERE seg_no > 0 AND seg_no < of - 1 GROUP BY ALL),
+seg_kept AS (SELECT seg_sized.*, lens[len(lens) // 2 + 1] AS keep, {_PROPER} FROM seg_sized JOIN seg_middle USING (doc_id, sent_no) WHERE of >= 3),
+seg_units AS (SELECT * REPLACE (lower(({lead_words('text')})[1]) AS lead) FROM ({_skeleton(f"SELECT *, {lead_words(_TRIMMED)} AS ws FROM seg_kept")})),
+sent_units AS ({_skeleton(f'SELECT doc_id, sent_no, "start", "end", text, {lead_words("text")} AS ws FROM sents')}),
+para_units AS ({_skeleton(f'SELECT doc_id, para_no, "start", "end", text, {lead_words("text")} AS ws FROM paras')}),
+all_runs AS ({" UNION ALL ".join([
+    _islands("seg_units", "doc_id, sent_no", "seg_no", "skeleton", "in-sentence", 0, 0, "AND NOT bool_and(proper)"),
+    _islands("seg_units", "doc_id, sent_no", "seg_no", "lead", "in-sentence", 0, 1, "AND NOT bool_and(proper)"),
+    _islands("sent_units", "doc_id", "sent_no", "skeleton", "cross-sentence", 1, 0),
+    _islands("sent_units", "doc_id", "sent_no", "lead", "cross-sentence", 1, 1),
+    _islands("para_units", "doc_id", "para_no", "lead", "paragraph", 2, 0, "", "string_agg(substring(text, 1, 22), ' | ' ORDER BY o)"),
+])}),
+runs AS ({_uncontained('all_runs')})"""
+
+_HAS = lambda col, p: f"regexp_matches({col}, {q('(?i)' + re2(p))})"
+_PRON, _NEG = inlist(lx.PRONOUNS), inlist(lx.NEGATORS)
+PAIRS = f""",
+neighbours AS (
+  SELECT doc_id, "start", lead("end") OVER w AS "end", text AS l, lead(text) OVER w AS r, 0 AS level_rank FROM segs WINDOW w AS (PARTITION BY doc_id, sent_no ORDER BY seg_no)
+  UNION ALL SELECT doc_id, "start", lead("end") OVER w, text, lead(text) OVER w, 1 FROM sents WINDOW w AS (PARTITION BY doc_id ORDER BY sent_no)),
+near_pairs AS (SELECT *, row_number() OVER () AS id, [lower(x) for x in a] AS la, [lower(x) for x in b] AS lb FROM (SELECT *, {lead_words('l')} AS a, {lead_words('r')} AS b FROM neighbours WHERE r IS NOT NULL)
+  WHERE len(a) BETWEEN 2 AND 14 AND len(b) BETWEEN 2 AND 14 AND abs(len(a) - len(b)) <= 3),
+anchors AS (SELECT id, min(w) AS anchor FROM (SELECT id, unnest(list_intersect(la, lb)) AS w FROM near_pairs) WHERE w NOT IN {_PRON} AND (w NOT IN {inlist(lx.FUNCTION_WORDS)} OR w IN {_NEG}) GROUP BY id),
+reasoned AS (SELECT *, CASE WHEN la[1] = lb[1] AND la[1] NOT IN {_PRON} THEN 'anaphora on ''' || la[1] || ''''
+    WHEN la[1] = lb[1] AND la[2] = lb[2] THEN 'repeated opening ''' || a[1] || ' ' || a[2] || ''''
+    WHEN la[1] = lb[1] AND abs(len(a) - len(b)) <= 2 AND {_HAS('l', pt.STRONG_NEGATOR)} <> {_HAS('r', pt.STRONG_NEGATOR)} THEN 'antithesis, same opening'
+    WHEN {_HAS('l', pt.NEGATOR)} <> {_HAS('r', pt.NEGATOR)} AND anchor IS NOT NULL THEN 'antithesis on ''' || anchor || ''''
+    WHEN {_HAS('l', pt.NEGATOR)} AND {_HAS('r', pt.NEGATOR)} AND anchor IN {_NEG} THEN 'negated pair on ''' || anchor || '''' END AS reason FROM near_pairs LEFT JOIN anchors USING (id)),
+all_pairs AS (SELECT doc_id, "start", "end", reason, substring({stripped('l')} || ' | ' || {stripped('r')}, 1, 70) AS preview, 2 AS arity, level_rank, 0 AS kind_rank FROM reasoned WHERE reason IS NOT NULL),
+pairs AS ({_uncontained('all_pairs')})"""
+
+SIZES = f", sizes AS (SELECT doc_id, len({words('text')}) AS n_words FROM docs)"
+
+
+def _over(source: str, order: str, per_1k: float) -> str:
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {order}) AS place FROM {source}) JOIN sizes USING (doc_id) WHERE place > floor(n_words / 1000 * {per_1k})"
+
+
+_PAIR_RANK = "CASE WHEN contains(reason, 'repeated opening') THEN 0 WHEN contains(reason, 'anaphora') THEN 1 WHEN contains(reason, 'negated pair') THEN 2 WHEN contains(reason, 'antithesis') THEN 3 ELSE 1 END"
+OVER = SIZES + f", over_runs AS ({_over('runs', 'arity, \"start\", \"end\"', 1.0)}), over_pairs AS ({_over('pairs', _PAIR_RANK + ', \"start\", \"end\"', 2.0)})"
+
+_NAMED = (pt.YEAR, pt.UNIT, pt.QUOTED_TERM, pt.CODE_TERM, pt.NUMBER_WORD)
+_NAME = r"\b[A-Z][a-zA-Z'\x{2019}-]{1,}"
+
+
+def specifics(col: str) -> str:
+    """Names count unless they open the text or follow an end mark; the marks before them are taken along, as nothing looks behind here."""
+    named = " + ".join(n_of(col, p) for p in _NAMED)
+    inside = n_of(col, rf"[a-z,;:)\"'{pt.SPACE}]{_NAME}", ignore_case=False)
+    opening = n_of(col, rf"[.!?]\s{{1,20}}{_NAME}", ignore_case=False)
+    first = f"regexp_matches({col}, {q(re2(rf'\A\s{{1,20}}{_NAME}'))})::int"
+    numerals = f"CASE WHEN {named} = 0 THEN {n_of(col, pt.NUMERAL)} ELSE 0 END"
+    return f"({named} + {numerals} + {inside} - {opening} - {first})"
+
+
+CLOSERS = """,
+last_sents AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, para_no) AS of, row_number() OVER (PARTITION BY doc_id, para_no ORDER BY sent_no DESC) AS nth FROM fsents) WHERE nth = 1 AND of >= 2 AND n_words <= 8),
+rate AS (SELECT doc_id, para_no FROM paras WHERE n_words >= 15),
+closers AS (SELECT last_sents.* FROM last_sents JOIN rate USING (doc_id, para_no))"""
+PUNCH = CLOSERS + """,
+counted AS (SELECT doc_id, n_words, coalesce(c, 0) AS c, coalesce(p, 0) AS p, coalesce(d, 0) AS d, coalesce(r, 0) AS r, choppiness FROM sizes JOIN cadence USING (doc_id)
+  LEFT JOIN (SELECT doc_id, count(*) AS c FROM closers GROUP BY ALL) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS p FROM rate GROUP BY ALL) USING (doc_id)
+  LEFT JOIN (SELECT doc_id, count(*) AS d FROM pairs GROUP BY ALL) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS r FROM runs GROUP BY ALL) USING (doc_id)),
+rated AS (SELECT *, CASE WHEN p = 0 THEN 0.0::DOUBLE ELSE round(least(1.0::DOUBLE, c / p), 3) END AS ratio, d / greatest(1, n_words) * 1000 AS dk, r / greatest(1, n_words) * 1000 AS rk FROM counted),
+punch AS (SELECT *, 0.4::DOUBLE * least(1.0::DOUBLE, choppiness / 0.6::DOUBLE) + 0.3::DOUBLE * least(1.0::DOUBLE, ratio / 0.6::DOUBLE) + 0.2::DOUBLE * least(1.0::DOUBLE, dk / 20.0::DOUBLE) + 0.1::DOUBLE * least(1.0::DOUBLE, rk / 8.0::DOUBLE) AS score FROM rated)"""
+
+
+def all_counts(runts: bool) -> str:
+    """One row a hit of every rule but those off by default."""
+    every = [f"SELECT doc_id, rule_id, n FROM counts", "SELECT doc_id, 'parallel', count(*) FROM over_runs GROUP BY ALL", "SELECT doc_id, 'doublet', count(*) FROM over_pairs GROUP BY ALL"]
+    one = "SELECT doc_id, '{}', count(*) FROM ({}) GROUP BY ALL"
+    every += [
+        one.format("vocab", f"""SELECT doc_id FROM tokens t WHERE replace(lword, '’', '''') IN {inlist(lx.EXCESS_VOCABULARY)} AND NOT EXISTS (SELECT 1 FROM quoted q WHERE q.doc_id = t.doc_id AND qs <= t."start" AND t."start" < qe)"""),
+        one.format("fragments", "SELECT doc_id, island FROM (SELECT *, sum((n_words > 7)::int) OVER (PARTITION BY doc_id ORDER BY sent_no) AS island FROM sents) WHERE n_words <= 7 GROUP BY ALL HAVING count(*) >= 3"),
+        one.format("question", "SELECT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, para_no ORDER BY sent_no) AS nth FROM sents) WHERE nth = 1 AND text LIKE '%?'"),
+        one.format("opener", f"SELECT doc_id, island FROM (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY sent_no) AS island FROM (SELECT *, coalesce(first_word = lag(first_word) OVER (PARTITION BY doc_id ORDER BY sent_no), false) AS same FROM sents)) WHERE first_word NOT IN {inlist(lx.PLAIN_OPENERS)} GROUP BY ALL HAVING count(*) >= 3"),
+        one.format("template", f"""SELECT doc_id FROM (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY "start", "end" DESC, width ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ({word_grams(4, 3)} UNION ALL {word_grams(6, 2)})) WHERE before IS NULL OR "end" > before"""),
+        one.format("closer", "SELECT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY NOT finite, n_words DESC, \"start\") AS k FROM closers) JOIN (SELECT doc_id, floor(count(*) * 0.25) AS allowance FROM rate GROUP BY doc_id) USING (doc_id) WHERE k > allowance"),
+        one.format("vague", f"SELECT doc_id FROM paras WHERE n_words >= 40 AND {specifics('text')} = 0"),
+    ]
+    if runts:
+        every.append(one.format("runt", "SELECT doc_id FROM fsents WHERE n_words < 5 AND NOT finite"))
+    return f", ts AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM tokens) WHERE total >= 12), every_count AS ({' UNION ALL '.join(every)})"
+
+
+_ALL = f"{SENTS} {FINITE} {SEGMENTS} {RUNS} {PAIRS} {OVER} {CLOSERS}, {TOKENS}, {_QUOTES}, {COUNTS}"
+ORACLE |= {
+    "segment_spans": f"WITH {DOCS}, {SENTS} {SEGMENTS} SELECT doc_id, sent_no::INT AS sent_no, seg_no::INT AS seg_no, {_SPANS}, text FROM segs",
+    "specifics_counts": f"WITH {SEEDED} SELECT doc_id, {specifics('text')}::BIGINT AS specifics FROM docs",
+    "vague_paragraphs": f"""WITH {SEEDED}, {PARAS} SELECT doc_id, {_SPANS}, n_words || 'w paragraph' AS note FROM paras WHERE n_words >= 40 AND {specifics('text')} = 0""",
+    "parallel_runs": f"""WITH {DOCS}, {SENTS} {SEGMENTS} {RUNS} SELECT doc_id, {_SPANS}, level, arity, preview FROM runs""",
+    "doublet_pairs": f"""WITH {DOCS}, {SENTS} {SEGMENTS} {PAIRS} SELECT doc_id, {_SPANS}, reason, preview FROM pairs""",
+    "parallel_over_budget": f"""WITH {SEEDED}, {SENTS} {SEGMENTS} {RUNS} {PAIRS} {OVER} SELECT doc_id, 'parallel' AS rule_id, {_SPANS}, preview AS text, arity || ' units, ' || level AS note FROM over_runs""",
+    "doublets_over_budget": f"""WITH {SEEDED}, {SENTS} {SEGMENTS} {RUNS} {PAIRS} {OVER} SELECT doc_id, 'doublet' AS rule_id, {_SPANS}, preview AS text, 'doublet, ' || reason AS note FROM over_pairs""",
+    "punch_scores": f"""WITH {DOCS}, {SENTS} {FINITE} {SEGMENTS} {RUNS} {PAIRS} {SIZES}, {CADENCE} {PUNCH}
+      SELECT doc_id, round(score, 3) AS punch, round(choppiness, 3) AS choppiness, ratio AS closer_ratio, round(dk, 2) AS doublets_per_1k, round(rk, 2) AS parallel_per_1k, CASE WHEN score >= 0.2::DOUBLE THEN 'punchy' ELSE 'ok' END AS verdict FROM punch""",
+    "all_rule_counts": f"""WITH {SEEDED}, {_ALL} {all_counts(True)} SELECT doc_id, rule_id, coalesce(sum(n), 0)::BIGINT AS n FROM (SELECT doc_id, unnest([{', '.join(q(r) for r in pt.RULES)}]) AS rule_id FROM docs) LEFT JOIN every_count USING (doc_id, rule_id) GROUP BY ALL""",
+    "drift_all_rules": f"""WITH {_REVISED}, {SENTS} {FINITE} {SEGMENTS} {RUNS} {PAIRS} {OVER} {CLOSERS}, {CADENCE}, {STYLE}, {_QUOTES}, {COUNTS} {all_counts(False)},
+      hits AS (SELECT doc_id, coalesce(sum(n), 0) AS n FROM docs LEFT JOIN every_count USING (doc_id) GROUP BY doc_id),"""
+    + ORACLE["drift_verdicts"].split("FROM counts GROUP BY doc_id),")[1],
+    "voice_notes": f"""WITH {PLAIN}, {SENTS}, {STYLE}, {voice('')}, every AS ({long('style', _VOICE, 'doc_id')}), z AS (SELECT doc_id, feature, round((value - center) / scale, 2) + 0.0 AS z FROM every JOIN voice USING (feature) WHERE scale > 1e-9),
+      wide AS (SELECT doc_id, max(z) FILTER (feature = 'lexical_density') AS ld, max(z) FILTER (feature = 'lexical_diversity') AS dv, max(z) FILTER (feature = 'entropy_norm') AS en,
+        string_agg(feature || ' ' || z || ' from the usual', '; ' ORDER BY abs(z) DESC, feature) FILTER (abs(z) >= 2 AND feature NOT IN ('lexical_density', 'lexical_diversity', 'entropy_norm')) AS rest FROM z GROUP BY doc_id)
+      SELECT doc_id, concat_ws('; ', CASE WHEN ld <= -2 THEN 'lexical density ' || ld || ' below the usual' || CASE WHEN en < 0 THEN ' with entropy' ELSE '' END END,
+        CASE WHEN dv >= 2 AND en >= 2 THEN 'lexical diversity and entropy above the usual together' END, rest) AS notes FROM wide""",
+}
+
+_PINS = {"talk": {"fragments": 5.0, "doublet": 5.0, "parallel": 5.0, "runt": 4.0, "closer": 4.0, "opener": 3.0, "person": 3.0}, "essay": {"vague": 4.0, "template": 4.0}}
+
+
+def _pinned(name: str) -> str:
+    """Weight of a hit: the pin, and 1 for others; by severity where a profile pins nothing."""
+    return "CASE rule_id " + " ".join(f"WHEN '{r}' THEN {w}::DOUBLE" for r, w in _PINS[name].items()) + " ELSE 1.0::DOUBLE END" if name in _PINS else f"({_SEV})::DOUBLE"
+
+
+ORACLE["profile_scores"] = f"WITH {NOTED} " + " UNION ALL ".join(
+    f"""SELECT '{n}' AS profile, doc_id, coalesce(total, 0)::BIGINT AS total, coalesce(round(coalesce(total, 0) / nullif(n_words, 0) * 1000, 2), 0.0) AS per_1k, coalesce(round(coalesce(w, 0) / nullif(n_words, 0) * 1000, 2), 0.0) AS score
+      FROM rdocs LEFT JOIN (SELECT doc_id, count(*) AS total, sum({_pinned(n)})::DOUBLE AS w FROM found GROUP BY doc_id) USING (doc_id)"""
+    for n in ("talk", "essay", "docs")
+)

@@ -28,9 +28,9 @@ def seeded(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.concat(text, F.lit("\n\n"), trigger))
 
 
-def _seeded(spark: SparkSession, d: str, mask: bool = True) -> Parsed:
-    """Documents with their trigger, masked as the operators have it; not masked where the query's SQL reads the text as it is."""
-    return parse(seeded(_docs(spark, d)), mask=mask)
+def _seeded(spark: SparkSession, d: str) -> Parsed:
+    """Documents with their trigger, masked as the operators have it."""
+    return parse(seeded(_docs(spark, d)))
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -98,7 +98,7 @@ def chunk_signals(spark, d):
 
 
 def device_counts(spark, d):
-    return features.devices(_seeded(spark, d, mask=False)).drop("repetition", "device_variety", "device_concentration")
+    return features.devices(_seeded(spark, d)).drop("repetition", "device_variety", "device_concentration")
 
 
 def device_mix(spark, d):
@@ -115,7 +115,7 @@ def reader_notes(spark, d):
 
 
 def person_mix(spark, d):
-    return features.person_mix(_seeded(spark, d, mask=False))
+    return features.person_mix(_seeded(spark, d))
 
 
 def punch_scores(spark, d):
@@ -126,7 +126,7 @@ PATTERN_RULES = [r.id for r in pt.RULES.values() if r.patterns]
 
 
 def pattern_rule_counts(spark, d):
-    p = _seeded(spark, d, mask=False)
+    p = _seeded(spark, d)
     found = rules.pattern_hits(p, PATTERN_RULES)
     return rules.counts(found, p.docs, spark).filter(F.col("rule_id").isin(*PATTERN_RULES))
 
@@ -135,40 +135,40 @@ def pattern_rule_hits(spark, d):
     return rules.pattern_hits(_seeded(spark, d), PATTERN_RULES)
 
 
-def _rule(name, mask=True):
+def _rule(name):
     def run(spark, d):
         c = rules.Config(min_sentence_words=5, person_budget_per_1k=0.0)
-        return rules.BUILT[name](_seeded(spark, d, mask), c)
+        return rules.BUILT[name](_seeded(spark, d), c)
 
     return run
 
 
 def vocab_hits(spark, d):
-    return _rule("vocab", mask=False)(spark, d).select("doc_id", "start", "end", "text")
+    return _rule("vocab")(spark, d).select("doc_id", "start", "end", "text")
 
 
 def fragment_runs(spark, d):
-    return _rule("fragments", mask=False)(spark, d).select("doc_id", "start", "end", "note")
+    return _rule("fragments")(spark, d).select("doc_id", "start", "end", "note")
 
 
 def opener_runs(spark, d):
-    return _rule("opener", mask=False)(spark, d).select("doc_id", "start", "end", "text")
+    return _rule("opener")(spark, d).select("doc_id", "start", "end", "text")
 
 
 def question_openers(spark, d):
-    return _rule("question", mask=False)(spark, d).select("doc_id", "start", "end", "text")
+    return _rule("question")(spark, d).select("doc_id", "start", "end", "text")
 
 
 def template_hits(spark, d):
-    return _rule("template", mask=False)(spark, d).select("doc_id", "start", "end", "text", "note")
+    return _rule("template")(spark, d).select("doc_id", "start", "end", "text", "note")
 
 
 def runt_sentences(spark, d):
-    return _rule("runt", mask=False)(spark, d).select("doc_id", "start", "end", "text", "note")
+    return _rule("runt")(spark, d).select("doc_id", "start", "end", "text", "note")
 
 
 def closers_over_budget(spark, d):
-    return _rule("closer", mask=False)(spark, d).select("doc_id", "start", "end", "text", "note")
+    return _rule("closer")(spark, d).select("doc_id", "start", "end", "text", "note")
 
 
 def vague_paragraphs(spark, d):
@@ -181,7 +181,7 @@ def specifics_counts(spark, d):
 
 
 def generic_you(spark, d):
-    return _rule("person", mask=False)(spark, d).select("doc_id", "start", "end", "text")
+    return _rule("person")(spark, d).select("doc_id", "start", "end", "text")
 
 
 def parallel_runs(spark, d):
@@ -332,23 +332,30 @@ def alignment_scores(spark, d):
 
 
 def perplexity_windows(spark, d):
-    """Surprise under the word frequencies of the document itself, in place of a language model."""
-    from pyspark.sql import Window
-
     from quillon.operators import sequence
 
-    p = _parsed(spark, d)
-    f = features.word_frequencies(p)
+    return sequence.own_perplexity(_parsed(spark, d))
+
 
-    f = f.withColumn("lp", F.log(F.col("n") / F.sum("n").over(Window.partitionBy("doc_id"))))
-    t = p.tokens.select("doc_id", "pos", "lword").join(f.select("doc_id", "lword", "lp"), ["doc_id", "lword"])
-    lps = t.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lp"))), lambda x: x["lp"]).alias("lps"))
-    return sequence.perplexity_windows(lps, "doc_id", "lps")
+def reader_audit(spark, d):
+    """Effect sizes of the reader layer beside those of stylometry, between the two sides."""
+    docs = _docs(spark, d)
+    return corpus.feature_audit(features.audited(parse(docs, mask=False), docs.select("doc_id", "side")))
+
+
+def profile_scores(spark, d):
+    """Scores of the delivered hits under the weights that each profile pins."""
+    from quillon.sources import config
+
+    found, docs = _noted(spark, d)
+    parts = [review.scores(found, docs.select("doc_id", "n_words"), config.profile_weights(spark, n)).select(F.lit(n).alias("profile"), "*") for n in config.PROFILES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 _NAMES = """document_profile masked_documents word_counts word_frequencies paragraph_spans sentence_spans token_spans segment_spans sentence_metrics metric_warnings cadence
 stylometry adjacent_overlap chunk_signals device_counts device_mix readability reader_notes person_mix punch_scores pattern_rule_counts pattern_rule_hits vocab_hits fragment_runs
 opener_runs question_openers template_hits runt_sentences closers_over_budget vague_paragraphs specifics_counts generic_you parallel_runs parallel_over_budget doublet_pairs
 doublets_over_budget all_rule_counts tag_ngram_repeat template_rates top_templates compression_ratio structure_against_chance rule_audit measured_weights pinned_weights
-weighted_scores feature_audit voiceprint voice_deviations voice_notes worst_paragraphs review_documents drift_verdicts drift_all_rules alignment_scores perplexity_windows""".split()
+weighted_scores feature_audit voiceprint voice_deviations voice_notes worst_paragraphs review_documents drift_verdicts drift_all_rules alignment_scores perplexity_windows
+reader_audit profile_scores""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}

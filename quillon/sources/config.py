@@ -6,6 +6,10 @@ import tomllib
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
+
+from quillon.functions import patterns as pt
+from quillon.operators.corpus import pinned
 from quillon.operators.rules import Config
 
 FILES = ("quillon.toml", ".quillon.toml", "pyproject.toml")
@@ -34,6 +38,20 @@ def with_profile(c: Config, name: str) -> Config:
     return replace(c, **PROFILES[name].settings)
 
 
+def profile_weights(spark: SparkSession, name: str | None, weights: DataFrame | None = None) -> DataFrame | None:
+    """The weights under a profile: its pins take the place of those of the measured weights; None if neither is there.
+
+    With pins alone, rules that are not pinned weigh 1."""
+    pins = PROFILES[name].pins if name else {}
+    if not pins:
+        return weights
+    bare = [(r, None, None, None) for r in pt.RULES]
+    if weights is None:
+        return pinned(spark.createDataFrame(bare, "rule_id string, weight double, enrichment double, verdict string"), pins)
+    every = spark.createDataFrame([(r,) for r in pt.RULES], "rule_id string").join(weights.drop("pin", "effective"), "rule_id", "left")  # a row a rule
+    return pinned(every, pins)
+
+
 def from_table(values: dict) -> Config:
     """A config of a TOML table; unknown keys and rules are errors."""
     known = {f.name for f in fields(Config)}

@@ -58,6 +58,11 @@ def write_voiceprint(voice: DataFrame, path: str, sources: list[str] | None = No
     Path(path).write_text(json.dumps(data, indent=2, sort_keys=True), encoding="utf-8")
 
 
+def voice_centers(path: str) -> dict[str, float]:
+    """The usual figures alone, without a session."""
+    return {k: float(v) for k, v in _read(path)["center"].items()}
+
+
 def read_voiceprint(spark: SparkSession, path: str) -> DataFrame:
     d = _read(path)
     missing = [k for k in ("center", "scale", "n_docs", "n_words") if k not in d]
