@@ -457,11 +457,12 @@ _NAME = r"\b[A-Z][a-zA-Z'\x{2019}-]{1,}"
 
 def specifics(col: str) -> str:
     """Names count unless they open the text or follow an end mark; the marks before them are taken along, as nothing looks behind here."""
-    named = " + ".join(n_of(col, p) for p in _NAMED)
+    plain = ascii_letters(col)
+    named = " + ".join(n_of(plain, p) for p in _NAMED)
     inside = n_of(col, rf"[a-z,;:)\"'{pt.SPACE}]{_NAME}", ignore_case=False)
     opening = n_of(col, rf"[.!?]\s{{1,20}}{_NAME}", ignore_case=False)
     first = f"regexp_matches({col}, {q(re2(rf'\A\s{{1,20}}{_NAME}'))})::int"
-    numerals = f"CASE WHEN {named} = 0 THEN {n_of(col, pt.NUMERAL)} ELSE 0 END"
+    numerals = f"CASE WHEN {named} = 0 THEN {n_of(plain, pt.NUMERAL)} ELSE 0 END"
     return f"({named} + {numerals} + {inside} - {opening} - {first})"
 
 
