@@ -9,6 +9,7 @@ from quillon.functions import patterns as pt
 from quillon.operators import corpus, features
 from quillon.operators.parse import Parsed, parse
 from quillon.operators.rules import Config, hits
+from quillon.session import own
 
 
 def with_weight(found: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -92,7 +93,7 @@ def punch(p: Parsed) -> DataFrame:
     per = per.withColumns({"ratio": ratio, "d": F.col("doublets") / words * 1000, "r": F.col("runs") / words * 1000})
     one = F.lit(1.0)
     score = 0.40 * F.least(one, F.col("choppiness") / 0.6) + 0.30 * F.least(one, F.col("ratio") / 0.60) + 0.20 * F.least(one, F.col("d") / 20.0) + 0.10 * F.least(one, F.col("r") / 8.0)
-    return per.select(
+    out = per.select(
         "doc_id",
         F.round(score, 3).alias("punch"),
         F.round("choppiness", 3).alias("choppiness"),
@@ -101,6 +102,7 @@ def punch(p: Parsed) -> DataFrame:
         F.round("r", 2).alias("parallel_per_1k"),
         F.when(score >= 0.20, "punchy").otherwise("ok").alias("verdict"),
     )
+    return own(out)
 
 
 def notes(p: Parsed, c: Config = Config(), voice: DataFrame | None = None) -> DataFrame:
@@ -167,7 +169,7 @@ def review(p: Parsed, c: Config = Config(), found: DataFrame | None = None, weig
     if c.max_choppiness is not None:
         j = j.join(features.cadence(p).select("doc_id", "choppiness"), "doc_id")
         over = over | (F.col("choppiness") > c.max_choppiness)
-    return j.select("doc_id", (total <= (c.max_hits or 0)).alias("passed"), total.cast("long").alias("total"), over.alias("over"), "instructions", "worst", "notes")
+    return own(j.select("doc_id", (total <= (c.max_hits or 0)).alias("passed"), total.cast("long").alias("total"), over.alias("over"), "instructions", "worst", "notes"))
 
 
 def drift(pairs: DataFrame, c: Config = Config(), found=hits) -> DataFrame:

@@ -18,6 +18,7 @@ from quillon.functions import text as tx
 from quillon.operators import parallelism
 from quillon.operators.features import is_address
 from quillon.operators.parse import Parsed
+from quillon.session import own
 
 HITS = ["doc_id", "rule_id", "start", "end", "text", "note"]
 
@@ -252,7 +253,7 @@ def hits(p: Parsed, c: Config = Config()) -> DataFrame:
     every = parts[0]
     for x in parts[1:]:
         every = every.unionByName(x)
-    return every
+    return own(every)
 
 
 def rule_table(spark) -> DataFrame:

@@ -44,16 +44,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def placed(df: DataFrame) -> DataFrame:
     """Checkpointed with its placement known, so that windows over the same key need no further exchange.
 
+    Its columns are those of ``df``: give what is made of it columns of its own (``own``) before joining the two.
     Adaptive plans do not tell how their result is placed, so this one job is planned without."""
     conf = df.sparkSession.conf
     adaptive = conf.get("spark.sql.adaptive.enabled")
     conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return checkpointed(df.select("*")).toDF(*df.columns)  # columns of its own, so that it can be joined to what it is of
+        return checkpointed(df.select("*"))
     finally:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+def own(df: DataFrame) -> DataFrame:
+    """The same with columns of its own."""
+    return df.toDF(*df.columns)
+
+
 def default_parallelism(spark: SparkSession) -> int:
     """Partitions to plan for: the configured shuffle partitions, never under the cores at hand."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism, 1)

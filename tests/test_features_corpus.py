@@ -274,6 +274,44 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["check", str(tmp_path / "none.txt")]) == 2
 
 
+def test_profiles_pin_weights(spark):
+    found = spark.createDataFrame([(1, r) for r in ("fragments", "emoji", "vague", "vocab")], "doc_id long, rule_id string")
+    sizes = spark.createDataFrame([(1, 1000)], "doc_id long, n_words int")
+    score = lambda w: review.scores(found, sizes, w).first()["score"]
+    assert score(config.profile_weights(spark, "talk")) == 5 + 1 + 1 + 1
+    assert score(config.profile_weights(spark, "essay")) == 1 + 1 + 4 + 1
+    assert config.profile_weights(spark, "docs") is None and config.profile_weights(spark, None) is None
+    measured = spark.createDataFrame([("fragments", 0.5, 1.4, "live"), ("vocab", 2.0, 4.0, "live")], "rule_id string, weight double, enrichment double, verdict string")
+    assert score(config.profile_weights(spark, "talk", corpus.pinned(measured, {"vocab": 9.0}))) == 5 + 1 + 1 + 2  # the pins of the profile take the place of those measured
+    assert "10% of paragraphs" in review.contract(config.with_profile(rules.Config(), "talk"), profile="talk") and "paragraphs end" not in review.contract()
+
+
+def test_reader_layer_is_audited(spark):
+    docs = spark.createDataFrame([(i, "The pan was hot because the lamp was on. " * (2 + i % 3) + "It rained a bit. " * (i % 4) if i % 2 else "Go. Stop. Run now. " + "It ran because it was hot. " * (i % 3 == 0), "machine" if i % 2 else "human") for i in range(12)], "doc_id long, text string, side string")
+    got = {r["feature"]: r["cohens_d"] for r in corpus.feature_audit(features.audited(parse(docs, mask=False, path=None), docs.select("doc_id", "side"))).collect()}
+    assert {"smog", "subordination", "adjacent_overlap", "topic_spread", "gunning_fog", "words"} <= set(got) and got["subordination"] > 1
+
+
+def test_settled_units_are_the_same(parsed):
+    kept = parsed.settled
+    assert kept.settled is kept and parsed.settled is kept
+    for name in ("sentences", "segments", "paragraphs", "sizes"):
+        a, b = getattr(parsed, name), getattr(kept, name)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert "Exchange" not in rules.fragments(kept, rules.Config())._jdf.queryExecution().executedPlan().toString()  # still placed by document
+
+
+def test_flags_of_the_command_line(spark, tmp_path, capsys):
+    bad = tmp_path / "bad.txt"
+    bad.write_text("Moreover, it is crucial. Short one. Short two. Short three.", encoding="utf-8")
+    assert cli.main(["check", str(bad), "--json", "--lm", "--profile", "essay", "--parallel-budget", "3", "--check-code-blocks"]) == 0
+    told = json.loads(capsys.readouterr().out)[0]
+    assert told["counts"]["fragments"] == 1 and {"warnings", "structure", "templates", "worst", "notes"} <= set(told)
+    assert cli.main(["prompt", "--profile", "essay", "--disable", "vocab"]) == 0
+    out = capsys.readouterr().out
+    assert "[vocab]" not in out and "25% of paragraphs" in out
+
+
 def test_entry_registers_queries_with_sql(spark):
     import __spark_entry__ as entry
 
