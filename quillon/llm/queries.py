@@ -31,7 +31,8 @@ def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _prints(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     known = _canonical(spark, sf_dir)
     hits = table(spark, sf_dir, "hits").filter("result_id IS NOT NULL")
-    return p2_forms.fingerprints(table(spark, sf_dir, "results"), ["result_id"], "text", known), p2_forms.fingerprints(hits, ["hit_id", "result_id"], "text", known)
+    # written once, as classes and pairs ask for them several times
+    return checkpointed(p2_forms.fingerprints(table(spark, sf_dir, "results"), ["result_id"], "text", known)), checkpointed(p2_forms.fingerprints(hits, ["hit_id", "result_id"], "text", known))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
