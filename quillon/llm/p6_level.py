@@ -113,8 +113,10 @@ class Model:
     def __init__(self, order: int = ORDER, symbols: int = 400):
         self.order, self.symbols = order, symbols
         self.next: dict[tuple[str, ...], Counter] = {}
+        self.sizes: dict[tuple[str, ...], tuple[int, int]] = {}  # of the contexts asked for: uses and different followers
 
     def add(self, seq: list[str]) -> None:
+        self.sizes.clear()
         padded = ["<s>"] * (self.order - 1) + seq
         for i in range(self.order - 1, len(padded)):
             for n in range(self.order):
@@ -123,10 +125,13 @@ class Model:
     def p(self, context: tuple[str, ...], symbol: str) -> float:
         got = 1.0 / self.symbols
         for n in range(len(context) + 1):
-            seen = self.next.get(context[len(context) - n :])
+            behind = context[len(context) - n :]
+            seen = self.next.get(behind)
             if seen:
-                total, kinds = seen.total(), len(seen)
-                got = (seen[symbol] + kinds * got) / (total + kinds)
+                size = self.sizes.get(behind)
+                if size is None:
+                    size = self.sizes[behind] = seen.total(), len(seen)
+                got = (seen[symbol] + size[1] * got) / (size[0] + size[1])
         return got
 
 
