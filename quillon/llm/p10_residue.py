@@ -17,7 +17,7 @@ It is fitted on a bounded sample: of about ``candidates`` rows drawn by hash (no
 hosts, and validated on the hosts left out. Every row is scored on its whole text.
 
 Defined results: null, empty and blank texts are no cases (score null); repeated rows and null ids
-are scored like others; with too few labels of either kind the weak labels decide alone; an empty
+are scored like others; with under 20 labels of either kind the weak labels decide alone; an empty
 table gives an empty result. Broadcast: the weights, 2**18 + 2**16 numbers, at every scale.
 """
 
@@ -45,6 +45,7 @@ MARK_VALUE = 0.5
 CANDIDATES = 40_000
 SAMPLE = (9000, 3000)  # without residue, with
 LONGEST = 50_000
+LEAST_LABELS = 20  # of each kind; with fewer nothing can be learned
 SLICE = 2_000_000  # characters worked on at once
 SIGN_EACH = 160  # own characters a sign speaks for: texts with a sign in so many are residue
 PASSING = 600  # with fewer than one in so many, signs are said in passing
@@ -353,7 +354,7 @@ def train(df: DataFrame, key: str, text: str, host: str, sample: tuple[int, int]
     held = [r for r in rows if zlib.crc32(r["host"].encode()) % 5 == 0]
     rows = [r for r in rows if zlib.crc32(r["host"].encode()) % 5]
     figures = {"train_rows": len(rows), "held_rows": len(held), "precision": math.nan, "recall": math.nan, "accuracy": math.nan}
-    if len({r["label"] for r in rows}) < 2:
+    if min(sum(r["label"] == y for r in rows) for y in (0, 1)) < LEAST_LABELS:
         return None, figures
     model = fit([r["text_"] for r in rows], [r["label"] for r in rows])
     if held:
