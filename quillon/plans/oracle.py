@@ -44,7 +44,8 @@ _MD = r"coalesce(regexp_matches(path, '\.(md|markdown)\z'), false)"
 DOCS = ",\n".join(
     [
         RAW,
-        _mask_step("m1", "raw", tx.FENCE, f"{_MD} AND contains(body, '```')"),
+        _mask_step("m0", "raw", tx.suppression_pattern("prose"), "contains(lower(body), 'prose:')"),
+        _mask_step("m1", "m0", tx.FENCE, f"{_MD} AND contains(body, '```')"),
         *[_mask_step(f"m{i}", f"m{i - 1}", p, f"{_MD} AND regexp_matches(body, {q(p)})") for i, p in enumerate(tx.FURNITURE, 2)],
         "docs AS (SELECT doc_id, body AS text FROM m4)",
     ]
@@ -55,7 +56,8 @@ SEEDED_TEXT = f"coalesce(text, '') || chr(10) || chr(10) || {_CASE}"
 SEEDED = ",\n".join(
     [
         f"raw AS (SELECT doc_id, path, replace({SEEDED_TEXT}, chr(1), ' ') AS body FROM documents)",
-        _mask_step("m1", "raw", tx.FENCE, f"{_MD} AND contains(body, '```')"),
+        _mask_step("m0", "raw", tx.suppression_pattern("prose"), "contains(lower(body), 'prose:')"),
+        _mask_step("m1", "m0", tx.FENCE, f"{_MD} AND contains(body, '```')"),
         *[_mask_step(f"m{i}", f"m{i - 1}", p, f"{_MD} AND regexp_matches(body, {q(p)})") for i, p in enumerate(tx.FURNITURE, 2)],
         "docs AS (SELECT doc_id, body AS text FROM m4)",
     ]

@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,7 +213,7 @@ def test_nothing_to_find(spark):
     assert rules.hits(blank, rules.Config(min_sentence_words=5, person_budget_per_1k=0.0)).count() == 0
 
 
-def test_registered_queries_without_sql_mask_markdown(spark, tmp_path):
+def test_registered_queries_and_their_sql_mask(spark, tmp_path):
     body = "We walked by the mill for 20 minutes.\n\n# Moreover, a crucial nuance of 1999\n\n```\nMoreover, x delves into 1984\n```\n\nWe came home."
     off = "We walked home.\n\n<!-- prose: off -->\nMoreover, 1999.\n<!-- prose: on -->\n\nWe came home."
     spark.createDataFrame([(1, "a.md", body), (2, "a.txt", body), (3, "b.txt", off)], "doc_id long, path string, text string").write.parquet(str(tmp_path / "documents.parquet"))
@@ -222,4 +223,11 @@ def test_registered_queries_without_sql_mask_markdown(spark, tmp_path):
     assert {(2, shown), (2, hidden)} <= set(hits) and not {(1, shown), (1, hidden), (3, off.index("Moreover"))} & set(hits)
     n = {r["doc_id"]: r["specifics"] for r in queries.specifics_counts(spark, d).collect()}
     assert n[1] < n[2]
-    assert not any(k in oracle.ORACLE for k in ("pattern_rule_hits", "specifics_counts", "all_rule_counts", "review_documents", "worst_paragraphs", "vague_paragraphs", "device_mix", "parallel_over_budget", "doublets_over_budget"))
+    # the SQL masks as well
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
+    for name in ("masked_documents", "specifics_counts", "pattern_rule_counts", "fragment_runs", "runt_sentences", "segment_spans"):
+        got = queries.QUERIES[name](spark, d)
+        sql = con.execute(oracle.ORACLE[name])
+        names = [c[0] for c in sql.description]
+        assert sorted(map(str, map(tuple, got.select(*names).collect()))) == sorted(map(str, sql.fetchall())), name
