@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import text as tx
+
 MATCH, WILD, MISMATCH, GAP, LONGEST = 2.0, 1.0, -1.0, -1.5, 20
 
 
@@ -67,7 +69,12 @@ def perplexity_windows(df: DataFrame, key: str, lps: str, window: int = 32) -> D
 
     Tiles of fewer than a quarter of ``window`` (at least 4) tokens do not count; without any other the
     whole text is the one tile. Texts without tokens are left out."""
-    t = df.select(key, F.posexplode(lps).alias("i", "lp")).withColumn("tile", F.floor(F.col("i") / window))
+    return _tiled(df.select(key, F.posexplode(lps).alias("i", "lp")), key, window)
+
+
+def _tiled(tokens: DataFrame, key: str, window: int = 32) -> DataFrame:
+    """What ``perplexity_windows`` gives, from a row for each token: key, i (from 0) and lp."""
+    t = tokens.withColumn("tile", F.floor(F.col("i") / window))
     tiles = t.groupBy(key, "tile").agg(F.avg("lp").alias("mean"), F.count(F.lit(1)).alias("n"), F.sum("lp").alias("sum"))
     ok = F.col("n") >= max(4, window // 4)
     ppl = F.when(ok, F.exp(-F.col("mean")))
@@ -77,13 +84,16 @@ def perplexity_windows(df: DataFrame, key: str, lps: str, window: int = 32) -> D
 
 
 def own_perplexity(p) -> DataFrame:
-    """Perplexity windows under the word frequencies of each document itself, in place of a language model."""
-    from pyspark.sql import Window
+    """Perplexity windows under the word frequencies of each document itself, in place of a language model.
 
-    from quillon.operators import features
+    Words are counted by windows over ``doc_id``, which keep the placement: a join of words with their frequencies
+    would move every word twice, or be broadcast, as words are planned at the size of the files that hold their
+    texts. Texts of one ``doc_id`` are one, those without are left out."""
+    from pyspark.sql import Window
 
-    f = features.word_frequencies(p)
-    f = f.withColumn("lp", F.log(F.col("n") / F.sum("n").over(Window.partitionBy("doc_id"))))
-    t = p.tokens.select("doc_id", "pos", "lword").join(f.select("doc_id", "lword", "lp"), ["doc_id", "lword"])
-    lps = t.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lp"))), lambda x: x["lp"]).alias("lps"))
-    return perplexity_windows(lps, "doc_id", "lps")
+    doc = Window.partitionBy("doc_id")
+    t = p.docs.filter("doc_id IS NOT NULL").select("doc_id", F.posexplode(tx.words(F.col("text"))).alias("pos", "word"))
+    t = t.select("doc_id", "pos", F.lower("word").alias("lword"))
+    t = t.select("doc_id", "pos", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "lword")).alias("n"))
+    i = F.row_number().over(doc.orderBy("pos", "n")) - 1
+    return _tiled(t.select("doc_id", i.alias("i"), F.log(F.col("n") / F.count(F.lit(1)).over(doc)).alias("lp")), "doc_id")

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 import statistics
 from collections import Counter
 
@@ -234,6 +235,29 @@ def test_alignment_and_surprise(spark):
     assert got[0]["token_count"] == 70 and got[0]["perplexity"] == pytest.approx(math.e, abs=1e-3) and got[0]["window_cv"] == 0.0 and 2 not in got
 
 
+def test_surprise_under_own_words(spark, texts, parsed):
+    # the first two hold letters that become ASCII, and so parts of words, only when the whole text is lowered
+    odd = ["İstanbul road road", "\u212aelvin", " ".join(["w"] * 31 + ["v", "u", "t"])]
+    own = parse(spark.createDataFrame([*enumerate([*texts, *odd]), (None, "a b a")], "doc_id long, text string"), path=None)
+    want = {}
+    for i, text in enumerate([*texts, *odd]):
+        ws = [w.lower() for w in re.findall(r"[A-Za-z][A-Za-z'\u2019-]*", text or "")]
+        if not ws:
+            continue
+        n = Counter(ws)
+        lps = [math.log(n[w] / len(ws)) for w in ws]
+        tiles = [math.exp(-statistics.fmean(t)) for k in range(0, len(lps), 32) if len(t := lps[k : k + 32]) >= 8]
+        mean = statistics.fmean(lps)
+        want[i] = (len(ws), mean, math.exp(-mean), statistics.pstdev(tiles) / statistics.fmean(tiles) if len(tiles) > 1 else 0.0)
+    got = {i: tuple(r)[1:] for i, r in _rows(sequence.own_perplexity(own)).items()}
+    assert got.keys() == want.keys()
+    for i, w in want.items():
+        assert got[i] == pytest.approx(w, abs=6e-4), i
+    plan = sequence.own_perplexity(parsed)._jdf.queryExecution().executedPlan().toString()
+    # words are many times the size they are planned with: no join of them that can be broadcast, no second exchange
+    assert "Join" not in plan and "Broadcast" not in plan and plan.count("Exchange") == 1
+
+
 def test_files_and_settings(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name, text in {"a.TXT": "one", "sub/b.md": "two", "c.pdf": "no", "sub/bad.rst": b"\xff x"}.items():
